@@ -56,21 +56,26 @@ def random_name(r: random.Random) -> str:
     return f"{first}{mid} {last}"
 
 
+_PREFIX = r"(?:de |van |von |al-|o['’]|mc)"
+
+
 def name_lists(names: list[str]) -> tuple[set[str], set[str]]:
+    """Parts of given and of family names, lower case, without prefixes."""
     first, last = set(), set()
     for raw in names:
         n = _TITLE.sub("", folded(raw)[0].strip())
-        m = re.match(r"([A-Za-z]+(?:-[A-Za-z]+)?)(?: [A-Z]\.)? ((?:[Dd]e |[Vv]an |al-|O.)?[A-Za-z]+(?:-[A-Za-z]+)?)(?:,? .*)?$", n)
-        if m and "," not in n.split(" ")[0] and not m[1].isupper() or (m and n.isupper()):
-            first.add(m[1].lower())
-            last.add(m[2].lower())
+        m = re.match(rf"([A-Za-z]+(?:-[A-Za-z]+)?)(?: [A-Z]\.)? (?:{_PREFIX})?([A-Za-z]+(?:-[A-Za-z]+)?)(?:,? .*)?$", n, re.I)
+        if m and "," not in n.split(" ")[0] and (not m[1].isupper() or n.isupper()):
+            first.update(m[1].lower().split("-"))
+            last.update(m[2].lower().split("-"))
     return first - {"resume", "unknown"}, last - {"final"}
 
 
 def name_pattern(first: set[str], last: set[str]) -> re.Pattern:
     f = "|".join(sorted(map(re.escape, first), key=len, reverse=True))
-    l = "|".join(sorted((re.escape(x).replace("'", ".").replace("’", ".") for x in last), key=len, reverse=True))  # noqa: E741
-    return re.compile(rf"(?<![\w@/.-])(?:(?:{f})(?: [A-Z]\.)? (?:{l})|(?:{l}),? (?:{f}))(?![\w@]|-\w)", re.I)
+    l = "|".join(sorted(map(re.escape, last), key=len, reverse=True))  # noqa: E741
+    given, family = rf"(?:{f})(?:-(?:{f}))?(?: [A-Z]\.)?", rf"{_PREFIX}?(?:{l})(?:-(?:{l}))?"
+    return re.compile(rf"(?<![\w@/.-])(?:{given} {family}|{family},? {given})(?![\w@]|-\w)", re.I)
 
 
 def labels(text: str, names: re.Pattern | None) -> list[tuple[int, int, str]]:
@@ -166,7 +171,8 @@ def windows(samples: list, r: random.Random) -> tuple[np.ndarray, np.ndarray, np
     return np.array(xs), ys, np.array(ns)
 
 
-def train(sf_dir: str, seconds: float = 900) -> None:
+def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
+    """`more` goes on from the weights there are."""
     import pandas as pd
 
     r = random.Random(7)
@@ -182,13 +188,16 @@ def train(sf_dir: str, seconds: float = 900) -> None:
     held, labelled = labelled[:150], labelled[150:]
     field_samples = [(t, labels(t, pattern)) for t in fields]
     p = M.init_params(HIDDEN, 3)
+    if more and WEIGHTS.exists():
+        with np.load(WEIGHTS) as f:
+            p = {k: f[k].copy() for k in f.files}
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     step, began = 0, time.time()
     hx, hy, hn = windows(held, random.Random(1))
     for epoch in range(EPOCHS):
         samples = [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(labelled, len(labelled) // 2)]
-        samples += [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(field_samples, 1500)]
+        samples += [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(field_samples, 2500)]
         samples += [invented(r) for _ in range(1500)]
         x, y, n = windows(samples, r)
         order = np.random.default_rng(epoch).permutation(len(x))
@@ -216,4 +225,4 @@ def train(sf_dir: str, seconds: float = 900) -> None:
 
 
 if __name__ == "__main__":
-    train(sys.argv[1])
+    train(sys.argv[1], more=sys.argv[2:] == ["more"])

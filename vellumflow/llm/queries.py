@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import leak, spam, tokenizer
+from vellumflow.llm import canon, leak, mapping, spam, tokenizer
+from vellumflow.operators import packed
 from vellumflow.sources.tables import spread, table
 
 
@@ -13,6 +14,61 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, doc_id, pos, line: the lines of raw_text and the elements of bullets."""
+    r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"))
+    lines = r.select(F.lit("raw_text").alias("field"), F.col("resume_id").alias("doc_id"), F.posexplode(F.split("raw_text", "\n", -1)).alias("pos", "line"))
+    p = spread(table(spark, sf_dir, "parsed_resume").select("doc_id", "bullets"))
+    bullets = p.select(F.lit("bullets").alias("field"), "doc_id", F.posexplode("bullets").alias("pos", "line"))
+    return lines.unionByName(bullets).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _letter_pairs(spark: SparkSession, sf_dir: str):
+    """Bigram counts of all raw texts and bullets."""
+    texts = spread(table(spark, sf_dir, "resumes").select(F.col("raw_text").alias("t")))
+    bullets = spread(table(spark, sf_dir, "parsed_resume").select(F.array_join("bullets", "\n").alias("t")))
+    return canon.bigram_counts(texts.unionByName(bullets), "t")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bullets that look like ordinary text and differ from it in characters."""
+    odd = _lines(spark, sf_dir).where(canon.suspicious(F.col("line")))
+    done = canon.canonical_texts(odd, ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir))
+    return done.where("found > 0").select("field", "doc_id", "pos").distinct()
+
+
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each field differ by each kind, and how many of them equal another line only once they're consistent."""
+    odd = _lines(spark, sf_dir).where(canon.suspicious(F.col("line"))).distinct()
+    done = canon.canonical_texts(odd, ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir)).where("found > 0")
+    kinds = F.filter(F.array(*[F.when(F.col("found").bitwiseAND(1 << k) > 0, F.lit(name)) for k, name in enumerate(canon.KINDS)]), lambda x: x.isNotNull())
+    return done.select("field", F.explode(kinds).alias("kind")).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _meant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, doc_id, target_id, ord, value, skill_id, n_values of the entered skills that aren't listed letter for letter."""
+    m = table(spark, sf_dir, "skill_match").select(F.lit("skill_match").alias("field"), "doc_id", "target_id", F.col("ord").cast("bigint").alias("ord"), F.col("skill").alias("value"))
+    p = table(spark, sf_dir, "parsed_resume").select("doc_id", F.posexplode("skill_section_terms").alias("i", "value"))
+    p = p.select(F.lit("skill_section_terms").alias("field"), "doc_id", F.lit("").alias("target_id"), F.col("i").cast("bigint").alias("ord"), "value")
+    ontology = table(spark, sf_dir, "ontology")
+    entries = mapping.entries_of(ontology)
+    listed = F.broadcast(ontology.select(F.col("skill").alias("value")).distinct())
+    other = m.unionByName(p).where(F.length(F.trim("value")) > 0).join(listed, "value", "left_anti")
+    found = mapping.map_values(spread(other), "value", entries, packed.vocabulary(ontology))
+    return found.where((F.col("field") == "skill_match") | (F.col("n_values") < 2))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entered value that isn't a skill letter for letter, with the skill meant or 0."""
+    return _meant(spark, sf_dir).select("field", "doc_id", "target_id", "ord", "skill_id").distinct()
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of values that no entry is meant by, with how often they were entered."""
+    rows = _meant(spark, sf_dir).where("skill_id = 0").distinct()
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n_entered"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_texts(documents(spark, sf_dir, "text"), "doc_id", "text")
@@ -50,5 +106,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in spam.FEATURES])
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
