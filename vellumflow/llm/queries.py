@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import canon, leak, mapping, spam, tokenizer
+from vellumflow.llm import canon, leak, mapping, neardup, pii, spam, tokenizer
 from vellumflow.operators import packed
 from vellumflow.sources.tables import spread, table
 
@@ -14,6 +14,42 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns))
 
 
+FIELDS = ("raw_text", "candidate_name", "email", "phone")
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k STRUCT<resume_id, field>, value: the columns of resumes that hold personal values."""
+    r = spread(table(spark, sf_dir, "resumes").select("resume_id", *FIELDS))
+    each = F.array(*[F.struct(F.struct("resume_id", F.lit(c).alias("field")).alias("k"), F.col(c).alias("value")) for c in FIELDS])
+    return r.select(F.inline(each)).where("value is not null")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal value: its column, kind and place."""
+    v = pii.find_values(_fields(spark, sf_dir), "k", "value")
+    return v.select("k.field", "k.resume_id", "kind", "char_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw text with typed placeholders."""
+    r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"))
+    return pii.redact_texts(r, "resume_id", "raw_text").distinct()
+
+
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text")), "resume_id", "raw_text", size=3, threshold=0.6)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of résumés of similarity 0.6 or more."""
+    return _near(spark, sf_dir).pairs().select(F.col("a").alias("resume_id_a"), F.col("b").alias("resume_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each résumé that is similar to another, and its number of links."""
+    return _near(spark, sf_dir).groups().select(F.col("id").alias("resume_id"), "group_id", "n_links")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, doc_id, pos, line: the lines of raw_text and the elements of bullets."""
     r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"))
@@ -106,5 +142,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in spam.FEATURES])
 
 
-QUERIES = {"p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
