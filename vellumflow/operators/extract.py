@@ -32,9 +32,13 @@ def surface_forms(ontology: DataFrame) -> DataFrame:
     return names.unionByName(aliases).distinct()
 
 
-def runs(line: Column) -> Column:
-    """Structs (form, cased) of all runs of up to four words of a line."""
-    words = F.filter(F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda w: F.regexp_replace(w, "[./]+$", "")), lambda w: w != "")
+def words_of(line: Column) -> Column:
+    parts = F.regexp_extract_all(F.regexp_replace(line, "-", " "), F.lit(TOKEN), F.lit(0))
+    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, "[./]+$", "")), lambda w: w != "")
+
+
+def runs(words: str) -> Column:
+    """Structs (form, cased) of all runs of up to four words. `words` must be a column, for each run reads it again."""
 
     def of(n: int, cased: bool) -> Column:
         def one(i):
@@ -50,7 +54,8 @@ def mentions(doc_lines: DataFrame, key: str, ontology: DataFrame, broadcast_form
     """key, section, skill, category, n: how often each section of each document mentions each skill."""
     forms = surface_forms(ontology)
     small = forms.limit(broadcast_forms + 1).count() <= broadcast_forms
-    found = doc_lines.where(~F.col("is_blank")).select(key, "section", F.inline(runs(F.regexp_replace("line", "-", " ")))).join(F.broadcast(forms) if small else forms, ["form", "cased"])
+    cut = doc_lines.where(~F.col("is_blank")).select(key, "section", words_of(F.col("line")).alias("ws"))
+    found = cut.select(key, "section", F.inline(runs("ws"))).join(F.broadcast(forms) if small else forms, ["form", "cased"])
     return found.groupBy(key, "section", "skill", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
