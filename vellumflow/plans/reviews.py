@@ -73,7 +73,7 @@ def weighted_overall(spark, sf_dir):
     parts = [
         M.skills_component(m).select("doc_id", "target_id", F.lit("skills").alias("component"), "score", F.lit(0.5).alias("weight")),
         M.required_coverage(m).select("doc_id", "target_id", F.lit("required").alias("component"), (100 * F.col("coverage")).alias("score"), F.lit(0.3).alias("weight")),
-        M.radar(m).groupBy("doc_id", "target_id").agg(F.round(F.avg("score"), 4).alias("score")).select("doc_id", "target_id", F.lit("breadth").alias("component"), "score", F.lit(0.2).alias("weight")),
+        M.radar(m).groupBy("doc_id", "target_id").agg(F.avg("score").alias("score")).select("doc_id", "target_id", F.lit("breadth").alias("component"), "score", F.lit(0.2).alias("weight")),
     ]
     return U.weighted_overall(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["doc_id", "target_id"])
 
@@ -229,8 +229,8 @@ SQL = {
         WHEN 'projects' THEN (25 + {_ratio('n / 2', 10)} + {_ratio('nb / n / 3', 15)} + {_ratio('t / n', 20)} + {_ratio('2 * rm', 20)}) / 0.9 ELSE (30 + {_ratio('g / n', 20)} + {_ratio('y / n', 15)} + {_ratio('f / n', 20)}) / 0.85 END)::DOUBLE, 4) AS score FROM q)
       SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 55 THEN 'adequate' ELSE 'weak' END AS verdict FROM z""",
     "weighted_overall": f"""WITH sk AS ({matching.SQL['skills_component']}), rc AS ({matching.SQL['required_coverage']}), ra AS ({matching.SQL['radar_by_category']}),
-      c AS (SELECT doc_id, target_id, 'skills' AS component, score, 0.5::DOUBLE AS weight FROM sk UNION ALL SELECT doc_id, target_id, 'required', 100 * coverage, 0.3 FROM rc UNION ALL SELECT doc_id, target_id, 'breadth', round(avg(score), 4), 0.2 FROM ra GROUP BY doc_id, target_id),
-      g AS (SELECT doc_id, target_id, round(greatest(0, least(100, sum(score * weight) / sum(weight))), 6) AS overall FROM c GROUP BY ALL),
+      c AS (SELECT doc_id, target_id, 'skills' AS component, score, 0.5::DOUBLE AS weight FROM sk UNION ALL SELECT doc_id, target_id, 'required', 100 * coverage, 0.3 FROM rc UNION ALL SELECT doc_id, target_id, 'breadth', avg(score), 0.2 FROM ra GROUP BY doc_id, target_id),
+      g AS (SELECT doc_id, target_id, round(greatest(0, least(100, sum(score * weight) / sum(weight))) + 1e-9, 4) AS overall FROM c GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY score DESC, component DESC) AS hi, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY score + (1 - weight) * 40, component) AS lo FROM c)
       SELECT g.doc_id, g.target_id, overall, CASE WHEN overall >= 85 THEN 'excellent' WHEN overall >= 70 THEN 'strong' WHEN overall >= 55 THEN 'moderate' WHEN overall >= 40 THEN 'developing' ELSE 'early' END AS band, h.component AS strongest, w.component AS weakest
       FROM g JOIN r h ON h.doc_id = g.doc_id AND h.target_id = g.target_id AND h.hi = 1 JOIN r w ON w.doc_id = g.doc_id AND w.target_id = g.target_id AND w.lo = 1""",

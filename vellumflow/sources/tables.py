@@ -9,14 +9,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows in at least one partition a core.
+def spread(df: DataFrame, waves: int = 1) -> DataFrame:
+    """The same rows in at least `waves` partitions a core.
 
     Work in Python is bound by CPU, not by bytes, so a small file that Spark reads as one partition would keep one core
-    busy. Inputs that already have as many partitions as cores (every large one) pass unchanged and aren't shuffled.
+    busy. Inputs that already have as many partitions (every large one) pass unchanged and aren't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
+    return df if df.rdd.getNumPartitions() >= cores * waves else df.repartition(cores * (waves + 1))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
