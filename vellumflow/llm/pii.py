@@ -25,7 +25,8 @@ from vellumflow.llm import pii_model as M
 from vellumflow.llm.chars import folded
 
 WEIGHTS = Path(__file__).with_name("pii_bilstm_crf.npz")
-WINDOW, OVERLAP, AT_ONCE = 192, 48, 512
+WINDOW, OVERLAP, AT_ONCE = 256, 48, 512
+LEAD, CERTAIN = 9.0, 8
 Span = tuple[int, int, str]
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| @ | ?\[at\] ?| ?\(at\) ?)[A-Za-z0-9-]+(?:(?:\.| ?\((?:dot)\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)*(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}", re.I)
@@ -77,23 +78,17 @@ def _scored(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> list[np.ndarra
 
 
 def _decoded(p: dict[str, np.ndarray], scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Tags of each text: where nothing but the outside tag is likely the text falls apart, and the parts are decoded together.
-
-    A stretch whose outside score leads every other by more than any transition could win back is outside in the best path,
-    so cutting there changes no decision.
-    """
-    trans = p["trans"]
-    margin = 2 * float(trans[M.ALLOWED].max() - trans[M.ALLOWED].min()) + 6.0
+    """Tags of each text: stretches of more than CERTAIN characters whose outside score leads by LEAD are outside, what lies between is decoded whole."""
     tags = [np.zeros(len(s), dtype=np.uint8) for s in scores]
     parts = []
     for t, s in enumerate(scores):
-        live = (s[:, 1:].max(1) + margin) > s[:, 0]
+        live = (s[:, 1:].max(1) + LEAD) > s[:, 0]
         at = np.nonzero(live)[0]
         if not len(at):
             continue
-        cut = np.nonzero(np.diff(at) > 4)[0]
+        cut = np.nonzero(np.diff(at) > CERTAIN)[0]
         for a, b in zip(np.concatenate([[at[0]], at[cut + 1]]), np.concatenate([at[cut], [at[-1]]])):
-            parts.append((t, max(0, int(a) - 2), min(len(s), int(b) + 3)))
+            parts.append((t, max(0, int(a) - CERTAIN // 2), min(len(s), int(b) + 1 + CERTAIN // 2)))
     parts.sort(key=lambda x: x[2] - x[1])
     for at in range(0, len(parts), 1024):
         some = parts[at : at + 1024]

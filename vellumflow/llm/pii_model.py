@@ -100,24 +100,38 @@ def emissions(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def viterbi(p: dict[str, np.ndarray], em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tag paths of several sequences at once: em (T, B, tags), lengths (B,) -> (T, B) tags, 0 behind the end."""
+    """Best tag paths of several sequences at once: em (T, B, tags), lengths (B,) ascending -> (T, B) tags, 0 behind the end.
+
+    An inner tag follows only its own opening or inner tag, so it has two ways in; the others have all tags' ways in.
+    """
     t_len, n, k = em.shape
-    trans = np.where(ALLOWED, p["trans"], np.float32(-1e4)).astype(np.float32)
+    free = np.array([j for j in range(k) if ALLOWED_FIRST[j]])  # outside and opening tags
+    inner = np.array([j for j in range(k) if not ALLOWED_FIRST[j]])
+    into = np.ascontiguousarray(p["trans"][:, free].T).astype(np.float32)  # (to, from)
+    opened, kept = p["trans"][inner - 1, inner], p["trans"][inner, inner]
     score = em[0] + np.where(ALLOWED_FIRST, 0, np.float32(-1e4))
-    back = np.empty((t_len, n, k), dtype=np.uint8)
+    back = np.zeros((t_len, n, k), dtype=np.uint8)
+    first = np.searchsorted(lengths, np.arange(t_len), side="right")  # sequences before this one have ended
     for t in range(1, t_len):
-        m = score[:, :, None] + trans[None]
-        back[t] = m.argmax(1)
-        new = m.max(1) + em[t]
-        score = np.where((t < lengths)[:, None], new, score)
+        f = first[t]
+        s = score[f:]
+        m = s[:, None, :] + into
+        way = m.argmax(2)
+        new = np.empty_like(s)
+        new[:, free] = np.take_along_axis(m, way[:, :, None], 2)[:, :, 0]
+        a, b = s[:, inner - 1] + opened, s[:, inner] + kept
+        new[:, inner] = np.maximum(a, b)
+        back[t, f:, free] = way.T
+        back[t, f:, inner] = np.where(a >= b, inner - 1, inner).T
+        score[f:] = new + em[t, f:]
     tags = np.zeros((t_len, n), dtype=np.uint8)
     best = score.argmax(1).astype(np.uint8)
     rows = np.arange(n)
     for t in range(t_len - 1, -1, -1):
-        inside = t < lengths
-        tags[t] = np.where(inside, best, 0)
+        f = first[t]
+        tags[t, f:] = best[f:]
         if t:
-            best = np.where(inside, back[t][rows, best], best).astype(np.uint8)
+            best[f:] = back[t, rows[f:], best[f:]]
     return tags
 
 

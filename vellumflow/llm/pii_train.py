@@ -195,6 +195,8 @@ def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     step, began = 0, time.time()
     hx, hy, hn = windows(held, random.Random(1))
+    by_length = np.argsort(hn, kind="stable")
+    hx, hy, hn = hx[by_length], hy[by_length], hn[by_length]
     for epoch in range(EPOCHS):
         samples = [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(labelled, len(labelled) // 2)]
         samples += [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(field_samples, 2500)]

@@ -19,7 +19,7 @@ FIELDS = ("raw_text", "candidate_name", "email", "phone")
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k STRUCT<resume_id, field>, value: the columns of resumes that hold personal values."""
-    r = spread(table(spark, sf_dir, "resumes").select("resume_id", *FIELDS))
+    r = spread(table(spark, sf_dir, "resumes").select("resume_id", *FIELDS), 3)
     each = F.array(*[F.struct(F.struct("resume_id", F.lit(c).alias("field")).alias("k"), F.col(c).alias("value")) for c in FIELDS])
     return r.select(F.inline(each)).where("value is not null")
 
@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw text with typed placeholders."""
-    r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"))
+    r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"), 3)
     return pii.redact_texts(r, "resume_id", "raw_text").distinct()
 
 
