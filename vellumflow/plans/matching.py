@@ -11,7 +11,7 @@ from vellumflow.operators import matching as M
 from vellumflow.operators import parse as P
 from vellumflow.plans import parsing
 from vellumflow.plans import sqltwin as Q
-from vellumflow.sources.tables import table
+from vellumflow.sources.tables import checkpointed, table
 
 # An own small catalogue: (project_id, difficulty, roles, teaches).
 PROJECTS = [
@@ -67,7 +67,7 @@ def resolve_credit(spark, sf_dir):
     """JN-1..4: requirements resolved by the résumé's own text, directly or through related skills."""
     req = E.canonical(_matches(spark, sf_dir).where("skill <> ''").select("doc_id", "target_id", "ord", "skill"), "skill", _ontology(spark, sf_dir), "name")
     req = req.select("doc_id", "target_id", F.col("ord").cast("bigint").alias("ord"), F.col("name").alias("skill"))
-    return M.resolve(req, _evidence(spark, sf_dir), E.edges(_ontology(spark, sf_dir)))
+    return M.resolve(req, checkpointed(_evidence(spark, sf_dir)), E.edges(_ontology(spark, sf_dir)))  # three joins read it
 
 
 def extra_skills(spark, sf_dir):

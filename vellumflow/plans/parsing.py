@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import parse as P
 from vellumflow.plans import sqltwin as Q
-from vellumflow.sources.tables import spread, table
+from vellumflow.sources.tables import distinct_rows, table
 
 AS_OF = "2026-01-01"
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text").where("raw_text is not null").distinct())
+    return distinct_rows(table(spark, sf_dir, "resumes").select("resume_id", "raw_text").where("raw_text is not null"), "resume_id")
 
 
 def _lines(spark, sf_dir):

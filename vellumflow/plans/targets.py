@@ -10,7 +10,7 @@ from vellumflow.operators import extract as E
 from vellumflow.operators import posting as J
 from vellumflow.operators import requirements as R
 from vellumflow.plans import sqltwin as Q
-from vellumflow.sources.tables import spread, table
+from vellumflow.sources.tables import distinct_rows, table
 
 # Own reference rows: small enough to read, with every case of the layers.
 ROLES = [
@@ -54,7 +54,7 @@ def posted_targets(spark, sf_dir):
 
 
 def _postings(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").distinct())
+    return distinct_rows(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
 
 
 def domain_gate(spark, sf_dir):

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from vellumflow.functions import text as T
 from vellumflow.operators import similarity
 from vellumflow.plans import sqltwin as Q
-from vellumflow.sources.tables import table
+from vellumflow.sources.tables import distinct_rows, table
 
 _DOCS = "(SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").distinct()
+    return distinct_rows(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"), "doc_id")
 
 
 def normalised_text(spark, sf_dir):
@@ -46,10 +46,12 @@ def phrase_counts(spark, sf_dir):
 
 def _keywords(df: DataFrame, key: str, column: str, top: int) -> DataFrame:
     lemmas = df.select(key, T.content_lemmas(F.col(column)).alias("l"))
-    words = lemmas.select(key, F.posexplode("l").alias("p", "term"), F.lit(0).alias("kind"), F.lit(1).alias("w"))
-    pairs = lemmas.select(key, F.posexplode(T.phrases(F.col("l"), 2)).alias("p", "term"), F.lit(1).alias("kind"), F.lit(2).alias("w"))
-    triples = lemmas.select(key, F.posexplode(T.phrases(F.col("l"), 3)).alias("p", "term"), F.lit(2).alias("kind"), F.lit(2).alias("w"))
-    score = words.unionByName(pairs).unionByName(triples).where(F.length("term") >= 3).groupBy(key, "kind", "term").agg(F.sum("w").alias("score"), F.min("p").alias("first"))
+
+    def marked(terms, kind: int, weight: int):
+        return F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("p"), F.lit(kind).alias("kind"), F.lit(weight).alias("w")))
+
+    each = F.concat(marked(F.col("l"), 0, 1), marked(T.phrases(F.col("l"), 2), 1, 2), marked(T.phrases(F.col("l"), 3), 2, 2))
+    score = lemmas.select(key, F.inline(each)).where(F.length("term") >= 3).groupBy(key, "kind", "term").agg(F.sum("w").alias("score"), F.min("p").alias("first"))
     w = W.partitionBy(key).orderBy(F.desc("score"), "kind", "first", "term")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

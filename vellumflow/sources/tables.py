@@ -19,6 +19,13 @@ def spread(df: DataFrame, waves: int = 1) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores * waves else df.repartition(cores * (waves + 1))
 
 
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """Distinct rows, by one shuffle on `key` into enough partitions for work that is bound by CPU (adaptive coalescing goes by bytes)."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key).distinct()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder that the session names (spark.checkpoint.dir)."""
     sc = df.sparkSession.sparkContext
