@@ -87,38 +87,44 @@ def find_leaks(
     groups = hits.groupBy("doc", "item", "d", "b").agg(
         F.count_distinct("pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("ipos").alias("ilo"), F.max("ipos").alias("ihi")
     )
-    windows = groups.where(F.col("n") >= least_seeds).select("doc", "item", "lo", "hi", "ilo", "ihi").distinct()
+    windows = groups.where(F.col("n") >= least_seeds).groupBy("doc", "item").agg(F.sort_array(F.collect_set(F.struct("n", "lo", "hi", "ilo", "ihi")), False).alias("windows"))
     item_words = tests.select("item", words(F.col("body")).alias("iw")).join(common, "item", "left")
     doc_words = docs.where("body is not null").distinct()
     pairs = windows.join(doc_words, "doc").join(F.broadcast(item_words) if small else item_words, "item")
-    start = F.greatest(F.col("lo") - MARGIN, F.lit(0))
-    istart = F.greatest(F.col("ilo") - MARGIN, F.lit(0))
-    pairs = pairs.select(
-        "doc", "item",
-        F.slice(words(F.col("body")), start + 1, F.col("hi") - start + MARGIN + 3).alias("dw"),
-        F.slice("iw", istart + 1, F.col("ihi") - istart + MARGIN + 3).alias("iw"),
-        istart.alias("istart"), F.coalesce("common", F.array().cast("array<int>")).alias("common"),
-    )
+    spark = documents.sparkSession
+    # alignment is bound by CPU: few bytes must not end in few tasks
+    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "doc", "item")
+    pairs = pairs.select("doc", "item", words(F.col("body")).alias("dw"), "iw", F.coalesce("common", F.array().cast("array<int>")).alias("common"), "windows")
     kinds = pairs.schema["doc"].dataType.simpleString(), pairs.schema["item"].dataType.simpleString()
 
+    def passage(dw: list, iw: list, shared: list, around: list) -> tuple[int, int] | None:
+        """(spanned words of the item, matches) of the first window, those with most seeds first, whose alignment passes."""
+        seen: list[tuple[int, int, int, int]] = []
+        of_many = {x + k for x in shared for k in range(3)}
+        for w in around:
+            box = w["lo"], w["hi"], w["ilo"], w["ihi"]
+            if any(s[0] <= box[0] and box[1] <= s[1] and s[2] <= box[2] and box[3] <= s[3] for s in seen):
+                continue
+            seen.append((box[0] - MARGIN, box[1] + MARGIN, box[2] - MARGIN, box[3] + MARGIN))
+            start, at = max(0, box[0] - MARGIN), max(0, box[2] - MARGIN)
+            part = iw[at : box[3] + MARGIN + 3]
+            code: dict[str, int] = {}
+            item = np.array([code.setdefault(x, len(code)) for x in part])
+            text = np.array([code.get(x, -1) for x in dw[start : box[1] + MARGIN + 3]])
+            span, text_span, n, _, matched = align(item, text)
+            if span < least_words or n < least_share * max(span, text_span) or n < 0.75 * least_words:
+                continue
+            if sum(int(x) + at not in of_many for x in matched) * 2 > least_words:
+                return span, n
+        return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, spans, matches = [], [], []
-            columns = [b.column(i).to_pylist() for i in range(2, 6)]
-            for r, (dw, iw, at, shared) in enumerate(zip(*columns)):
-                code: dict[str, int] = {}
-                item = np.array([code.setdefault(w, len(code)) for w in iw])
-                text = np.array([code.get(w, -1) for w in dw])
-                span, text_span, n, _, matched = align(item, text)
-                if span < least_words or n < least_share * max(span, text_span) or n < 0.75 * least_words:
-                    continue
-                of_many = {x - at + k for x in shared for k in range(3)}
-                if sum(int(x) not in of_many for x in matched) * 2 > least_words:
-                    keep.append(r)
-                    spans.append(span)
-                    matches.append(n)
-            pick = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(spans, pa.int32()), pa.array(matches, pa.int32())], names=["doc", "item", "item_words", "matched"])
+            found = [(r, passage(*x)) for r, x in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6))))]
+            found = [(r, p) for r, p in found if p]
+            pick = pa.array([r for r, _ in found], pa.int32())
+            cols = [pa.array([p[k] for _, p in found], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *cols], names=["doc", "item", "item_words", "matched"])
 
     found = pairs.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, item_words int, matched int")
     return found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"))
