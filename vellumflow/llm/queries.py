@@ -143,4 +143,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+_INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
+_SHOWN = f"regexp_replace(line, '{_INVISIBLE}', '', 'g')"
+_FOUND = " OR ".join(
+    [
+        r"regexp_matches(line, '[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]')",
+        rf"regexp_matches({_SHOWN}, '\p{{L}}[\x{{0300}}-\x{{036F}}]')",
+        rf"regexp_matches(regexp_replace(line, '([\p{{So}}\x{{FE0F}}])\x{{200D}}', '\1', 'g'), '{_INVISIBLE}')",
+        r"regexp_matches(line, '[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')",
+        r"regexp_matches(line, '[\x{FB00}-\x{FB06}]')",
+        rf"regexp_matches({_SHOWN}, '\p{{Latin}}[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]\p{{Latin}}|\p{{Greek}}\p{{Cyrillic}}|\p{{Cyrillic}}\p{{Greek}}')",
+    ]
+)
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH l AS (SELECT 'raw_text' AS field, resume_id AS doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT resume_id, string_split(raw_text, chr(10)) AS ls FROM resumes WHERE raw_text IS NOT NULL)
+        UNION ALL SELECT 'bullets', doc_id, unnest(range(0, len(bullets))), unnest(bullets) FROM parsed_resume)
+      SELECT DISTINCT field, doc_id, pos FROM l WHERE {_FOUND}""",
+    "p5_found": r"""WITH t AS (SELECT DISTINCT resume_id, regexp_extract_all(lower(raw_text), '[\p{L}\p{N}]+') AS ws FROM resumes WHERE raw_text IS NOT NULL),
+      s AS (SELECT DISTINCT resume_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT resume_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t)), n AS (SELECT resume_id, count(*) AS n FROM s GROUP BY ALL),
+      p AS (SELECT a.resume_id AS a, b.resume_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.resume_id < b.resume_id GROUP BY ALL)
+      SELECT a AS resume_id_a, b AS resume_id_b FROM p JOIN n x ON x.resume_id = a JOIN n y ON y.resume_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+}
