@@ -75,9 +75,9 @@ def opened(t: Column) -> Column:
 
 
 def completed(t: Column, original: Column) -> Column:
-    """Blanks for what a bullet leaves out: its tools, its result; and a full stop."""
+    """Blanks for what a bullet leaves out: its tools, its result; and a full stop. A bullet that has a prompt gets no other."""
     bare = lambda x: F.regexp_replace(x, "[. ]+$", "")
-    tools = F.when(~t.rlike(r"(?i)\b(?:using|with|in)\b") & (word_count(t) > 6) & ~F.contains(t, F.lit(TOOL_BLANK)), F.concat(bare(t), F.lit(f" using {TOOL_BLANK}"))).otherwise(t)
+    tools = F.when(~t.rlike(r"(?i)\b(?:using|with|in)\b") & (word_count(t) > 6) & ~F.contains(t, F.lit(TOOL_BLANK)) & ~t.rlike(r"\[add [^\]]*\]"), F.concat(bare(t), F.lit(f" using {TOOL_BLANK}"))).otherwise(t)
     result = F.when(~T.has_metric(original) & ~tools.rlike(r"\[add [^\]]*\]"), F.concat(bare(tools), F.lit(f", {METRIC_PROMPT}"))).otherwise(tools)
     return F.when(result.rlike(r"[.\]>]$"), result).otherwise(F.concat(result, F.lit(".")))
 

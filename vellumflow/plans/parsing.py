@@ -144,7 +144,7 @@ SQL = {
       p AS (SELECT *, [trim(q, {_EDGE}) FOR q IN regexp_split_to_array(regexp_replace(hd, ', ([A-Z])', ' | \\1', 'g'), ' \\| | [-–—] ') IF trim(q, {_EDGE}) <> ''] AS ps,
         CASE WHEN nb > 0 THEN nb ELSE len([q FOR q IN lines[2:] IF {_WORDS.format(x="trim(q, ' ' || chr(9))")} > 4]) END AS n_bullets FROM h),
       o AS (SELECT resume_id, entry, coalesce(left(ps[1], 120), '') AS title, coalesce(left(ps[2], 120), '') AS organisation, date_range, n_bullets,
-        CASE WHEN date_range = '' THEN 0 ELSE coalesce(greatest(0, least(480, ({_month(f'regexp_extract(date_range, {_DR}, 2)')}) - ({_month(f'regexp_extract(date_range, {_DR}, 1)')}))), 0) END::BIGINT AS months FROM p)
+        CASE WHEN date_range = '' THEN 0 ELSE coalesce(CASE WHEN mm < 0 THEN 0 WHEN mm > 480 THEN 480 ELSE mm END, 0) END::BIGINT AS months FROM (SELECT *, ({_month(f'regexp_extract(date_range, {_DR}, 2)')}) - ({_month(f'regexp_extract(date_range, {_DR}, 1)')}) AS mm FROM p))
       SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY entry) AS r FROM o WHERE title <> '' OR organisation <> '' OR n_bullets > 0) WHERE r <= 15""",
     "project_entries": f"""WITH {_SQL_LINES}, {_entries('projects')},
       g AS (SELECT resume_id, entry, list(line ORDER BY pos) AS ls, string_agg(line, chr(10) ORDER BY pos) AS body, list(is_bullet ORDER BY pos) AS bs FROM e GROUP BY ALL),

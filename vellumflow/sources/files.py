@@ -85,7 +85,7 @@ def _read(path: str, data: bytes) -> tuple[str | None, int | None, str | None]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, pages, problem: one row a file below `path`; refused and broken files have their problem and no text."""
+    """path, text, pages, problem: one row a file below `path`; refused and broken files have their problem and no text. The source doesn't list files of no bytes."""
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
