@@ -142,7 +142,9 @@ class Tokenizer:
             at = b
             if len(piece) > 1 and piece[0] == '"' and self._closing_quote(piece, 0) == len(piece) - 1:
                 piece = piece[1:-1].replace('""', '"').replace('\\"', '"').strip()
-            if piece and piece not in SPACED:
+            elif piece in SPACED:
+                continue  # a separator with nothing on its other side
+            if piece:
                 out.append(piece)
         return out
 
