@@ -81,15 +81,17 @@ def find_leaks(
     common = common.groupBy("item").agg(F.collect_set("ipos").alias("common"))
     small = item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     hits = _seeds(docs, "doc").withColumnRenamed("id", "doc").join(F.broadcast(rare) if small else rare, "seed")
-    hits = hits.select("doc", "item", "pos", "ipos", F.floor((F.col("pos") - F.col("ipos")) / DIAGONAL).alias("d"), F.floor(F.col("ipos") / BLOCK).alias("b"))
+    # most pairs hold fewer seeds than any passage: they go before a seed is put into its groups, and no later step shuffles again
+    pairs_hit = hits.groupBy("doc", "item").agg(F.collect_set(F.struct("pos", "ipos")).alias("h")).where(F.size("h") >= least_seeds)
+    hits = pairs_hit.select("doc", "item", F.inline("h")).withColumn("d", F.floor((F.col("pos") - F.col("ipos")) / DIAGONAL)).withColumn("b", F.floor(F.col("ipos") / BLOCK))
     hits = hits.select("doc", "item", "pos", "ipos", F.explode(F.array("d", F.col("d") + 1)).alias("d"), "b")
     hits = hits.select("doc", "item", "pos", "ipos", "d", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     groups = hits.groupBy("doc", "item", "d", "b").agg(
-        F.count_distinct("pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("ipos").alias("ilo"), F.max("ipos").alias("ihi")
+        F.size(F.collect_set("pos")).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("ipos").alias("ilo"), F.max("ipos").alias("ihi")
     )
     windows = groups.where(F.col("n") >= least_seeds).groupBy("doc", "item").agg(F.sort_array(F.collect_set(F.struct("n", "lo", "hi", "ilo", "ihi")), False).alias("windows"))
     item_words = tests.select("item", words(F.col("body")).alias("iw")).join(common, "item", "left")
-    doc_words = docs.where("body is not null").distinct()
+    doc_words = docs.where("body is not null")  # repeated rows repeat an alignment, which costs less than a shuffle of all texts
     pairs = windows.join(doc_words, "doc").join(F.broadcast(item_words) if small else item_words, "item")
     spark = documents.sparkSession
     # alignment is bound by CPU: few bytes must not end in few tasks
