@@ -30,7 +30,7 @@ LEAD, CERTAIN = 9.0, 8
 Span = tuple[int, int, str]
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| @ | ?\[at\] ?| ?\(at\) ?)[A-Za-z0-9-]+(?:(?:\.| ?\((?:dot)\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)*(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}", re.I)
-_PHONE = re.compile(r"(?<![\w@./-])(?:\+ ?|\()?\d(?:[\d ().]|[/-](?=\d))*\d(?![\w@]|[./-]\d)")
+_PHONE = re.compile(r"(?<![\w@./-])(?:\+ ?|\()?\d(?:[\d().]| (?! )|[/-](?=\d))*\d(?![\w@]|[./-]\d)")
 _NOT_PHONE = re.compile(r"(?:19|20)\d\d ?(?:-|to) ?(?:19|20)\d\d|\d{1,3}(?:,\d{3})+|\d{3,4}-\d{1,2}-\d{2,4}|\d+\.\d+\.\d{1,2}(?:\.\d+)*")
 _TITLES = re.compile(r"(?:(?:Dr|Prof|Mx|Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Mme|M|Sr|Sra|Ing|PhD)\.? |(?:Candidate|Name|Applicant|Contact|By|Curriculum Vitae)(?::| -)? )+", re.I)
 _NAME_WORD = re.compile(r"[A-Za-z][A-Za-z'’.-]*")
