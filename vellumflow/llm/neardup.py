@@ -107,35 +107,37 @@ def _sketches(df: DataFrame, size: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, shallow: int, region: int, agreements: int) -> DataFrame:
-    """a < b: classes that share a region in at least `agreements` trees."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.get("sig", 2 * t).alias("hi"), F.get("sig", 2 * t + 1).alias("lo")))
-    rows = classes.select(F.col("rep"), F.inline(trees))
+    """a < b: classes that share a region in at least `agreements` trees.
+
+    A region is named by one hash of its tree and prefix, and only that name travels with a class. Regions of one class go
+    by the counts; those too large are named again at the next depth, by the classes in them alone.
+    """
     depths = [d for d in (3, 4, 5, 6, 8) if d >= shallow]
 
-    def prefix(d: int):
-        if d <= 4:
-            return [F.shiftright("hi", 16 * (4 - d)), F.lit(0).cast("bigint")]
-        return [F.col("hi"), F.shiftright("lo", 16 * (8 - d))]
-
-    waiting, pairs = rows, []
-    for d in depths:
-        p, q = prefix(d)
-        keyed = waiting.withColumn("p", p).withColumn("q", q)
-        count = keyed.groupBy("tree", "p", "q").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        here = keyed.join(count, ["tree", "p", "q"])
-        last = d == depths[-1]
-        fit = here.where(F.col("n") <= region)
-        lists = fit.groupBy("tree", "p", "q").agg(F.array_sort(F.collect_list("rep")).alias("g"))
+    def name(t, d: int):
+        hi, lo = F.get("sig", 2 * t), F.get("sig", 2 * t + 1)
+        return F.xxhash64(t, F.shiftright(hi, 16 * (4 - d)), F.lit(0).cast("bigint")) if d <= 4 else F.xxhash64(t, hi, F.shiftright(lo, 16 * (8 - d)))
+
+    pairs, hot = [], None
+    for i, d in enumerate(depths):
+        trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+        if hot is None:
+            keyed = classes.select("rep", F.explode(F.transform(trees, lambda t: name(t, depths[0]))).alias("key"))
+        else:
+            before = depths[i - 1]
+            both = F.transform(trees, lambda t: F.struct(name(t, before).alias("up"), name(t, d).alias("key")))  # noqa: B023
+            keyed = classes.select("rep", F.inline(both)).join(hot.withColumnRenamed("key", "up"), "up", "left_semi").select("rep", "key")
+        count = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        here = keyed.join(count, "key")
+        lists = here.where(F.col("n") <= region).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("g"))
         of_list = F.flatten(F.transform(F.sequence(F.lit(0), F.size("g") - 2), lambda i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.get("g", i).alias("a"), y.alias("b")))))
         pairs.append(lists.select(F.inline(of_list)))
-        large = here.where(F.col("n") > region)
-        if last:
-            left, right = large.select("tree", "p", "q", F.col("rep").alias("a")), large.select("tree", "p", "q", F.col("rep").alias("b"))
-            pairs.append(left.join(right, ["tree", "p", "q"]).where("a < b").select("a", "b"))
-        else:
-            waiting = checkpointed(large.select("rep", "tree", "hi", "lo"))
-            if waiting.isEmpty():
-                break
+        hot = count.where(F.col("n") > region).select("key")
+        if hot.isEmpty():
+            break
+        if d == depths[-1]:
+            large = keyed.join(hot, "key", "left_semi")
+            pairs.append(large.select("key", F.col("rep").alias("a")).join(large.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b"))
     all_pairs = pairs[0]
     for x in pairs[1:]:
         all_pairs = all_pairs.unionByName(x)
@@ -169,9 +171,12 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, column: str, size: int = 5, threshold: float = 0.8, shallow: int = 3, region: int = 64, agreements: int = 2):
         texts = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{column}`").cast("string").alias("t")).where("t is not null and id is not null")
         sketches = checkpointed(_sketches(texts, size))
-        classes = sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.count_distinct("id").alias("n_members"))
+        ids = sketches.select("id", "h1", "h2").distinct()
+        named = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_members"))
         #: (id, rep): which class each text belongs to
-        self.members = sketches.select("id", "h1", "h2").distinct().join(classes.select("h1", "h2", "rep", "n_members"), ["h1", "h2"]).select("id", "rep", "n_members")
+        self.members = ids.join(named, ["h1", "h2"]).select("id", "rep", "n_members")
+        # one signature a class; equal sets have equal signatures, so copies combine before the shuffle
+        classes = sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
         #: (a, b, shared, either): representatives of different classes that reach the threshold
         self.links = _compared(_candidates(classes, shallow, region, agreements), texts, size, threshold)
 
