@@ -244,7 +244,7 @@ SQL = {
     "bullet_rewrites": f"""WITH {_B}, s1 AS (SELECT *, {_fill('bullet')} AS a FROM b WHERE bullet IS NOT NULL), s2 AS (SELECT *, {_FIRST.format(x='a')} AS fw, lower(array_to_string(regexp_split_to_array(regexp_replace(a, '^[^ ]+ ?', ''), ' +')[1:3], ' ')) AS head FROM s1),
       s3 AS (SELECT *, (fw IN {Q.listed(T.WEAK_OPENERS)} OR fw IN {Q.listed(X.UPGRADES)}) AND fw NOT IN {Q.listed(X.SUPPORT)} AS weak, CASE {_CTX} {_UPG} ELSE 'Delivered' END AS verb FROM s2),
       s4 AS (SELECT *, CASE WHEN weak THEN regexp_replace(verb || regexp_replace(a, '^[ \\t]*[A-Za-z0-9_]+', ''), '^([A-Za-z0-9_]+) +(?:on|with|for|in) +', '\\1 ') WHEN fw <> '' AND fw NOT IN {Q.listed(T.STRONG_VERBS)} AND fw NOT IN {Q.listed(X.SUPPORT)} THEN upper(left(a, 1)) || substring(a, 2) ELSE a END AS t FROM s3),
-      s5 AS (SELECT *, CASE WHEN NOT regexp_matches(t, '(?i)\\b(?:using|with|in)\\b') AND {_WC.format(x='t')} > 6 AND NOT contains(t, '{X.TOOL_BLANK}') AND NOT regexp_matches(t, '\[add [^\]]*\]') THEN {_BARE.format(x='t')} || ' using {X.TOOL_BLANK}' ELSE t END AS u FROM s4),
+      s5 AS (SELECT *, CASE WHEN NOT regexp_matches(t, '(?i)\\b(?:using|with|in)\\b') AND {_WC.format(x='t')} > 6 AND NOT contains(t, '{X.TOOL_BLANK}') AND NOT regexp_matches(t, '\\[add [^\\]]*\\]') THEN {_BARE.format(x='t')} || ' using {X.TOOL_BLANK}' ELSE t END AS u FROM s4),
       s6 AS (SELECT *, CASE WHEN NOT {_METRIC.format(x='bullet')} AND NOT regexp_matches(u, '\\[add [^\\]]*\\]') THEN {_BARE.format(x='u')} || ', {X.METRIC_PROMPT}' ELSE u END AS v FROM s5),
       s7 AS (SELECT *, CASE WHEN regexp_matches(v, '[.\\]>]$') THEN v ELSE v || '.' END AS rewritten FROM s6)
       SELECT doc_id, pos, rewritten, {_NEWNUM.format(a='bullet', b='rewritten')} AS new_number, md5(bullet) AS digest FROM s7""",
