@@ -54,3 +54,17 @@ def test_hot_region_is_whole(spark):
 
 def test_empty(spark):
     assert D.NearDuplicates(spark.createDataFrame([(1, None), (2, "")], "id bigint, t string"), "id", "t").pairs().count() == 0
+
+
+def test_large_regions_lose_no_pair(spark):
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):  # variants of one base that are just similar enough to each other, in regions far larger than a block
+        t = list(base)
+        for k in r.sample(range(60), 3):
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    near = D.NearDuplicates(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", size=3, threshold=0.6, region=8)
+    got, want = {tuple(x) for x in near.pairs().collect()}, exact(rows, 3, 0.6)
+    assert len(want) > 500 and got <= want and len(got) >= 0.999 * len(want)

@@ -2,11 +2,13 @@
 
 Similarity is that of the sets of successive words (Jaccard). Texts with equal sets are one class, found by aggregation, so
 copies cost nothing more. Each class has TREES signatures of DEPTH min-hashes of 16 bits. In a tree's order, classes with a
-common prefix of at least `shallow` hashes form a region; where a region holds more than `region` classes the needed prefix
-grows there, up to DEPTH. Pairs of a region are candidates; those that meet in `agreements` trees are compared exactly.
+common prefix of `shallow` hashes form a region, and all pairs of a region are candidates, however many classes it holds: up
+to `region` of them are paired in one list, more are split into blocks of about that size, and each two blocks are paired on
+their own. Pairs that meet in `agreements` trees are compared exactly.
 
-With 48 trees, prefixes of 3 and 2 meetings a pair of similarity 0.6 is missed with probability 1e-4, one of 0.66 with 5e-6;
-unrelated texts (0.03) meet twice with probability 1e-6. A region at full depth is compared whole by a join, not in one task.
+With 48 trees, prefixes of 3 and 2 meetings a pair of similarity 0.6 is missed with probability 1e-4, one of 0.66 with 5e-6,
+whatever else stands in its regions; unrelated texts (0.03) meet twice with probability 1e-6. The price of that is that the
+candidates of a region grow with the square of its classes.
 
 Defined results: null texts and texts of fewer words than a shingle have no pairs; repeated rows count once; one id with
 several texts is compared by each of them and never with itself; ties don't occur, since the threshold is exact.
@@ -109,39 +111,33 @@ def _sketches(df: DataFrame, size: int) -> DataFrame:
 def _candidates(classes: DataFrame, shallow: int, region: int, agreements: int) -> DataFrame:
     """a < b: classes that share a region in at least `agreements` trees.
 
-    A region is named by one hash of its tree and prefix, and only that name travels with a class. Regions of one class go
-    by the counts; those too large are named again at the next depth, by the classes in them alone.
+    A region is named by one hash of its tree and prefix, and only that name travels with a class. Regions of one class go by
+    the counts. A region of k blocks is k * (k + 1) / 2 cells, one for each two blocks and one for each block with itself, so
+    that no task holds more of it than two blocks; two classes meet in exactly one of its cells.
     """
-    depths = [d for d in (3, 4, 5, 6, 8) if d >= shallow]
 
-    def name(t, d: int):
+    def name(t):
         hi, lo = F.get("sig", 2 * t), F.get("sig", 2 * t + 1)
-        return F.xxhash64(t, F.shiftright(hi, 16 * (4 - d)), F.lit(0).cast("bigint")) if d <= 4 else F.xxhash64(t, hi, F.shiftright(lo, 16 * (8 - d)))
-
-    pairs, hot = [], None
-    for i, d in enumerate(depths):
-        trees = F.sequence(F.lit(0), F.lit(TREES - 1))
-        if hot is None:
-            keyed = classes.select("rep", F.explode(F.transform(trees, lambda t: name(t, depths[0]))).alias("key"))
-        else:
-            before = depths[i - 1]
-            both = F.transform(trees, lambda t: F.struct(name(t, before).alias("up"), name(t, d).alias("key")))  # noqa: B023
-            keyed = classes.select("rep", F.inline(both)).join(hot.withColumnRenamed("key", "up"), "up", "left_semi").select("rep", "key")
-        count = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        here = keyed.join(count, "key")
-        lists = here.where(F.col("n") <= region).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("g"))
-        of_list = F.flatten(F.transform(F.sequence(F.lit(0), F.size("g") - 2), lambda i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.get("g", i).alias("a"), y.alias("b")))))
-        pairs.append(lists.select(F.inline(of_list)))
-        hot = count.where(F.col("n") > region).select("key")
-        if hot.isEmpty():
-            break
-        if d == depths[-1]:
-            large = keyed.join(hot, "key", "left_semi")
-            pairs.append(large.select("key", F.col("rep").alias("a")).join(large.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b"))
-    all_pairs = pairs[0]
-    for x in pairs[1:]:
-        all_pairs = all_pairs.unionByName(x)
-    return all_pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= agreements).select("a", "b")
+        return F.xxhash64(t, F.shiftright(hi, 16 * (4 - shallow)), F.lit(0).cast("bigint")) if shallow <= 4 else F.xxhash64(t, hi, F.shiftright(lo, 16 * (8 - shallow)))
+
+    keyed = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), name)).alias("key"))
+    count = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    here = keyed.join(count, "key")
+    lists = here.where(F.col("n") <= region).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("g"))
+    of_list = F.flatten(F.transform(F.sequence(F.lit(0), F.size("g") - 2), lambda i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.get("g", i).alias("a"), y.alias("b")))))
+    pairs = lists.select(F.inline(of_list))
+    large = count.where(F.col("n") > region)
+    if not large.isEmpty():
+        k = F.ceil(F.col("n") / region).cast("int")
+        cut = here.where(F.col("n") > region).withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+        cut = cut.select("key", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+        cells = cut.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
+            F.collect_list(F.when(F.col("mine") <= F.col("other"), F.col("rep"))).alias("x"), F.collect_list(F.when(F.col("mine") >= F.col("other"), F.col("rep"))).alias("y")
+        )
+        # a cell of one block has it on both sides: each two of its classes once, none with itself
+        of_cell = cells.select("i", "j", F.explode("x").alias("p"), "y").select("i", "j", "p", F.explode("y").alias("q")).where("i < j or p < q")
+        pairs = pairs.unionByName(of_cell.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= agreements).select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
