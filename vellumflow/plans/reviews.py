@@ -56,19 +56,19 @@ def quality_checks(spark, sf_dir):
 
 
 def quality_scores(spark, sf_dir):
-    """ATS-0: scores of families and of the whole, with the band."""
+    """ATS-0 in part: scores of families and of the whole over the nine checks of quality_checks (of 16), with the band."""
     s = U.totals(U.checks(_features(spark, sf_dir), "resume_id"), "resume_id")
     return s.withColumn("band", U.band(F.round("score", 1)))
 
 
 def section_scores(spark, sf_dir):
-    """SEC-0, 1, 4..6: scores of the entry sections."""
+    """SEC-0 in part, SEC-1, 4..6: scores of the entry sections, without summary and skills."""
     e = table(spark, sf_dir, "doc_entry").select("doc_id", "section", "entry", "bullets", "date_range", "tech_hint", "degree", "field_of_study", "grad_year").distinct()
     return U.section_scores(e)
 
 
 def weighted_overall(spark, sf_dir):
-    """AGG-10..13, CPL-3: overall of three components of each pair, its band, the strongest and the weakest."""
+    """AGG-10..13, CPL-3 in part: overall of three of the six components of each pair, its band, the strongest and the weakest."""
     m = matching._matches(spark, sf_dir)
     parts = [
         M.skills_component(m).select("doc_id", "target_id", F.lit("skills").alias("component"), "score", F.lit(0.5).alias("weight")),

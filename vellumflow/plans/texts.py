@@ -121,7 +121,7 @@ def pair_similarity(spark, sf_dir):
 
 
 def top_items_per_doc(spark, sf_dir):
-    """AGG-7, 13, REC-4: the three items nearest to each document by the blended score, with its band."""
+    """AGG-7 in part, AGG-13, REC-4: the three items nearest to each document by the blended score (without the expanded cosine), with its band."""
     f = _features(spark, sf_dir).withColumn("s", F.round(T.clamp(100 * F.least(F.lit(1.0), (0.85 * F.col("cosine") + 0.15 * F.col("jaccard")) / 0.35)), 4))
     top = f.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("s"), "item_id"))).where("rank <= 3")
     band = F.when(F.col("s") >= 85, "excellent").when(F.col("s") >= 70, "strong").when(F.col("s") >= 55, "moderate").when(F.col("s") >= 40, "developing").otherwise("early")
