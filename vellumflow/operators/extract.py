@@ -7,6 +7,10 @@ with signs, must stand with their own capitals.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ SECTION_WEIGHT = {
 APPLIED = ("experience", "projects")
 MENTION_CAP = 12
 TOKEN = r"[A-Za-z0-9+#./]+"
+MOST_FORMS = 500_000
 
 
 def squashed(form: Column) -> Column:
@@ -59,6 +64,48 @@ def mentions(doc_lines: DataFrame, key: str, ontology: DataFrame, broadcast_form
     return found.groupBy(key, "section", "skill", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_mentions(df: DataFrame, key: str, column: str, ontology: DataFrame) -> DataFrame:
+    """key, column, skill, at, length: where each text first mentions each skill (from 1), by the same runs as `mentions`.
+
+    The forms travel with the tasks, so a list of more than MOST_FORMS is refused. The longer of two forms at one place counts.
+    """
+    rows = surface_forms(ontology).select("form", "cased", "skill").limit(MOST_FORMS + 1).collect()
+    if len(rows) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} surface forms")
+    skills: dict[tuple[str, bool], list[str]] = {}
+    for r in rows:
+        skills.setdefault((r.form, r.cased), []).append(r.skill)
+    kind = df.schema[key].dataType.simpleString()
+
+    def found_in(text: str) -> dict[str, tuple[int, int]]:
+        out: dict[str, tuple[int, int]] = {}
+        for line in re.finditer(r"[^\n]+", text):
+            words = []
+            for m in re.finditer(TOKEN, line[0]):
+                w = re.sub(r"[./]+$", "", m[0])
+                if w:
+                    words.append((w, line.start() + m.start()))
+            for i, (w, start) in enumerate(words):
+                run = ""
+                for n, (x, at) in enumerate(words[i : i + 4]):
+                    run += x
+                    length = at + len(x) - start
+                    for s in skills.get((run.lower(), False), []) + (skills.get((w, True), []) if n == 0 else []):
+                        old = out.get(s)
+                        if old is None or (old[0] == start + 1 and old[1] < length):
+                            out[s] = (start + 1, length)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("skill", pa.string()), ("at", pa.int32()), ("length", pa.int32())]))
+        for b in batches:
+            found = [[{"skill": s, "at": a, "length": n} for s, (a, n) in found_in(t).items()] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kinds)], names=[key, column, "found"])
+
+    given = df.select(key, column).where(F.col(column).isNotNull())
+    return given.mapInArrow(run, f"`{key}` {kind}, `{column}` string, found array<struct<skill:string,at:int,length:int>>").select(key, column, F.inline("found"))
+
+
 def evidence(found: DataFrame, key: str) -> DataFrame:
     """key, skill, category, mentions, n_sections, applied, declared_only, confidence of each skill of each document."""
     weight = F.create_map(*[F.lit(x) for p in SECTION_WEIGHT.items() for x in p])
