@@ -31,6 +31,14 @@ def test_cases():
     assert (11, "0/q/1/1", "0") in got
 
 
+def test_strings_with_leading_white_space():
+    for lead in ("\n", "\t", " ", "\r\n  ", "\ufeff\n"):
+        part = lead + '[{"c": [{}]}]'
+        for texts in ([json.dumps({"a": part})], [json.dumps({"a": [part]})], [json.dumps({"a": part}), '{"a": [{"c": [{}]}]}']):
+            got, want = both(texts)
+            assert got == want and {"a/0" if texts[0][6] == '"' else "a/0/0"} <= {n for i, n, _ in got if i == 0}
+
+
 def test_snake_keys():
     assert [N.snake(k) for k in ("skillSectionTerms", "a_b", "HTTPServer", "Two words", "x-y", "aB2C")] == ["skill_section_terms", "a_b", "http_server", "two_words", "x_y", "a_b2_c"]
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOM = "﻿"
+OPENING = f'{{["{BOM} \n\t\r'  # what JSON kept as a string may begin with
 ROOT = ""
 ITEM = "[]"  # a path step: an array inside an array
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -62,7 +63,7 @@ def read_json(text: str | None):
 
 def contained(value):
     """A string that holds a JSON object, array or string of such is what it holds; any other value is itself."""
-    while isinstance(value, str) and value[:1] and (value[0] in '{["' or value[0] in "﻿ \n\t\r"):
+    while isinstance(value, str) and value[:1] and value[0] in OPENING:
         t = value.strip().lstrip(BOM).strip()
         if t[:1] not in ("{", "[", '"') or len(t) < 2:
             break
@@ -84,7 +85,7 @@ def _paths(value, path: str, found: set[str], objects: set[str]) -> None:
         if type(v) is dict:
             objects.add(p)
             for k, x in v.items():
-                if type(x) is str and x and x[0] in '{["﻿':
+                if type(x) is str and x and x[0] in OPENING:
                     x = contained(x)
                 if type(x) is dict or type(x) is list:
                     k = snake(k)
@@ -92,7 +93,7 @@ def _paths(value, path: str, found: set[str], objects: set[str]) -> None:
         elif type(v) is list:
             found.add(p)
             for x in v:
-                if type(x) is str and x and x[0] in '{["﻿':
+                if type(x) is str and x and x[0] in OPENING:
                     x = contained(x)
                 if type(x) is dict:
                     stack.append((x, p))
@@ -196,7 +197,7 @@ class Shape:
             s = snake(k)
             c = keys.get(s)
             if c is not None and c in self.useful:
-                if type(v) is str and v[:1] not in '{["﻿ ':
+                if type(v) is str and v[:1] not in OPENING:
                     v2 = None
                 else:
                     v2 = self.fit(v, c)
