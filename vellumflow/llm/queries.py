@@ -74,13 +74,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines of each field differ by each kind, and how many of them equal another line only once they're consistent."""
+    """How many lines of each field differ by each kind."""
     odd = _lines(spark, sf_dir).where(canon.suspicious(F.col("line"))).distinct()
     done = canon.canonical_texts(odd, ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir)).where("found > 0")
     kinds = F.filter(F.array(*[F.when(F.col("found").bitwiseAND(1 << k) > 0, F.lit(name)) for k, name in enumerate(canon.KINDS)]), lambda x: x.isNotNull())
     return done.select("field", F.explode(kinds).alias("kind")).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line and bullet in its consistent form; those that hold nothing unusual are in it already."""
+    lines = _lines(spark, sf_dir)
+    odd = F.coalesce(canon.suspicious(F.col("line")), F.lit(False))
+    done = canon.canonical_texts(lines.where(odd), ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir)).drop("found")
+    return done.unionByName(lines.where(~odd).withColumnRenamed("line", "text")).distinct()
+
+
 def _meant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """field, doc_id, target_id, ord, value, skill_id, n_values of the entered skills that aren't listed letter for letter."""
     m = table(spark, sf_dir, "skill_match").select(F.lit("skill_match").alias("field"), "doc_id", "target_id", F.col("ord").cast("bigint").alias("ord"), F.col("skill").alias("value"))
@@ -142,7 +150,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in spam.FEATURES])
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_texts": p4_texts, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 _INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
 _SHOWN = f"regexp_replace(line, '{_INVISIBLE}', '', 'g')"
 _FOUND = " OR ".join(
