@@ -59,3 +59,9 @@ def test_in_spark(spark):
     got = sorted((r.id, r.skill_id, r.n_values) for r in M.map_values(df, "v", ENTRIES, []).collect() if r.skill_id is not None)
     assert got == [(1, 1, 1), (1, 1, 1), (4, 0, 1), (5, 0, 2), (6, 2, 1)]
     assert M.map_values(df.where("id > 99"), "v", ENTRIES, []).count() == 0
+
+
+def test_very_long_remarks():
+    for value in ("Python (" + "used daily " * 400 + ")", " " * 5000 + "Rust", "Py" + "\u200b" * 5000 + "thon", "advanced " * 3000 + "Rust"):
+        assert MATCHER.find(value) in (1, 7)
+    assert MATCHER.find("unheard of " * 2000) == 0

@@ -204,7 +204,9 @@ class Matcher:
     def find(self, value: str) -> int:
         known = self._known.get(value)
         if known is None:
-            known = self._find(value) if len(value) <= 40 * (self.longest + 8) else 0
+            known = self._find(value)
+            if len(value) > 40 * (self.longest + 8):  # searched as any other, but too long to be kept
+                return known
             if len(self._known) > 200_000:
                 self._known.clear()
             self._known[value] = known
