@@ -27,12 +27,53 @@ def test_leaks(spark):
     rows = [(d, t, 7) for d, t in docs.items()] + [(0, docs[0], 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, item bigint")
     it = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(99, None)], "item_id bigint, text string")
-    for bound in (1_000_000, 10):  # both ways of joining
-        got = leak.find_leaks(df, it, "doc_id", "text", "item_id", "text", broadcast_seeds=bound)
+    for bound in (1_000_000, 500):  # one block of items and several
+        got = leak.find_leaks(df, it, "doc_id", "text", "item_id", "text", block_seeds=bound)
         assert {(x.doc_id, x.item_id) for x in got.collect()} == want
     assert leak.find_leaks(df.where("doc_id > 90"), it, "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_leaks_of_repeated_items(spark):
+    r = random.Random(5)
+    base = item(r, 50)
+    # an item that stands thirty times, and thirty variants of another one: no instruction, all of them leak
+    other = item(r, 50)
+    variants = [[w if x != k else "changed" for x, w in enumerate(other)] for k in range(30)]
+    items = [(n, " ".join(base)) for n in range(30)] + [(100 + n, " ".join(v)) for n, v in enumerate(variants)]
+    docs = [(1, "before it " + " ".join(base[5:35]) + " after it"), (2, " ".join(other[10:45]))]
+    got = leak.find_leaks(spark.createDataFrame(docs, "d bigint, t string"), spark.createDataFrame(items, "i bigint, t string"), "d", "t", "i", "t").collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(1, n) for n in range(30)} | {(2, 100 + n) for n in range(30)}
+
+
+def exact_leaks(text, ws, least_words=20):
+    """Whether any stretch of the text aligns with a stretch of the item: every start, the whole text, no seeds and no windows."""
+    known = {w: n for n, w in enumerate(dict.fromkeys(ws))}
+    a, b = leak.np.array([known[w] for w in ws]), leak.np.array([known.get(w, -1) for w in leak.words(text)])
+    while len(b):
+        score, before, text_span, span, matched = leak.align(a, b)
+        if score < 5:
+            return False
+        if span >= least_words and len(matched) >= 0.7 * max(span, text_span) and len(matched) >= 15:
+            return True
+        b[before : before + text_span] = -1
+    return False
+
+
+def test_leaks_against_alignment_of_everything(spark):
+    r = random.Random(11)
+    items = [item(r, r.randint(30, 90)) for _ in range(12)]
+    docs = []
+    for d in range(60):
+        k = r.randrange(12)
+        n = r.randint(14, 30)
+        a = r.randint(0, len(items[k]) - n)
+        part = [w for w in items[k][a : a + n] for w in ([w] if r.random() > 0.2 else r.choice([[], ["new"], [w, "added"]]))]
+        docs.append((d, " ".join(item(r, 40) + part + item(r, 40) + (part[:12] if d % 3 else []))))
+    got = leak.find_leaks(spark.createDataFrame(docs, "d bigint, t string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "i bigint, t string"), "d", "t", "i", "t").collect()
+    want = {(d, k) for d, t in docs for k, ws in enumerate(items) if exact_leaks(t, ws)}
+    assert len(want) > 20 and {(x.doc_id, x.item_id) for x in got} == want
+
+
 HONEST = "We are looking for a patient engineer to join the team in the north. You will work with the data and it is fine to ask. The office has a quiet room and we meet every week."
 
 
