@@ -2,13 +2,13 @@
 
 Similarity is that of the sets of successive words (Jaccard). Texts with equal sets are one class, found by aggregation, so
 copies cost nothing more. Each class has TREES signatures of DEPTH min-hashes of 16 bits. In a tree's order, classes with a
-common prefix of `shallow` hashes form a region, and all pairs of a region are candidates, however many classes it holds: up
-to `region` of them are paired in one list, more are split into blocks of about that size, and each two blocks are paired on
-their own. Pairs that meet in `agreements` trees are compared exactly.
+common prefix of `shallow` hashes form a region, and all pairs of a region of up to `region` classes are candidates; those
+that meet in `agreements` trees are compared exactly. Where a region is denser than that, a deeper prefix would lose pairs
+near the threshold, and all its pairs would grow with the square of its classes; its classes are searched exactly instead
+(`sharing`), by the rarest members of their sets, which is as deep as each pair needs and loses none.
 
-With 48 trees, prefixes of 3 and 2 meetings a pair of similarity 0.6 is missed with probability 1e-4, one of 0.66 with 5e-6,
-whatever else stands in its regions; unrelated texts (0.03) meet twice with probability 1e-6. The price of that is that the
-candidates of a region grow with the square of its classes.
+With 48 trees, prefixes of 3 and 2 meetings a pair of similarity 0.6 is missed with probability 1e-4, one of 0.66 with 5e-6;
+a pair of a large region is never missed. Unrelated texts (0.03) meet twice with probability 1e-6.
 
 Defined results: null texts and texts of fewer words than a shingle have no pairs; repeated rows count once; one id with
 several texts is compared by each of them and never with itself; ties don't occur, since the threshold is exact.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from vellumflow.sources.tables import checkpointed
 
 TREES, DEPTH, SEED = 48, 8, 20_011
+COPIES = 1000  # members of a class that are paired in one task
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _hashes: dict[str, int] = {}
 
@@ -85,35 +86,39 @@ def signature(sh: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def _sketches(df: DataFrame, size: int) -> DataFrame:
-    """id, h1, h2 (the set's name), sig of every text with at least one shingle; one narrow pass."""
+    """id, h1, h2 (the set's name), sig, sh (the sorted set itself) of every text with at least one shingle; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _parameters()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                rows, names, sigs = [], [], []
+                rows, names, sigs, sets = [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     sh = shingles(t, size)
                     if len(sh):
                         rows.append(i)
                         names.append(xxhash.xxh3_128_intdigest(sh.tobytes()))
                         sigs.append(signature(sh, mul, add).reshape(-1).astype(np.int64))
+                        sets.append(sh.view(np.int64))
                 mask = (1 << 64) - 1
                 parts = [np.array([(x >> s) & mask for x in names], dtype=np.uint64).astype(np.int64) for s in (64, 0)]
-                flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 2 * TREES, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(parts[0]), pa.array(parts[1]), sig], names=["id", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(parts[0]), pa.array(parts[1]), _lists(sigs), _lists(sets)], names=["id", "h1", "h2", "sig", "sh"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, h1 bigint, h2 bigint, sig array<bigint>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, h1 bigint, h2 bigint, sig array<bigint>, sh array<bigint>")
 
 
-def _candidates(classes: DataFrame, shallow: int, region: int, agreements: int) -> DataFrame:
-    """a < b: classes that share a region in at least `agreements` trees.
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64), pa.int64()))
+
+
+def _candidates(classes: DataFrame, sets: DataFrame, shallow: int, region: int, agreements: int, threshold: float) -> DataFrame:
+    """a < b: classes that share a small region in at least `agreements` trees, or that may be similar and are of large regions.
 
     A region is named by one hash of its tree and prefix, and only that name travels with a class. Regions of one class go by
-    the counts. A region of k blocks is k * (k + 1) / 2 cells, one for each two blocks and one for each block with itself, so
-    that no task holds more of it than two blocks; two classes meet in exactly one of its cells.
+    the counts. A class that stands in any region of more than `region` classes goes to the exact search as well: a pair that
+    meets in a large region is among those by definition, a pair that doesn't meets in small ones only.
     """
 
     def name(t):
@@ -125,37 +130,57 @@ def _candidates(classes: DataFrame, shallow: int, region: int, agreements: int)
     here = keyed.join(count, "key")
     lists = here.where(F.col("n") <= region).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("g"))
     of_list = F.flatten(F.transform(F.sequence(F.lit(0), F.size("g") - 2), lambda i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.get("g", i).alias("a"), y.alias("b")))))
-    pairs = lists.select(F.inline(of_list))
-    large = count.where(F.col("n") > region)
-    if not large.isEmpty():
-        k = F.ceil(F.col("n") / region).cast("int")
-        cut = here.where(F.col("n") > region).withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-        cut = cut.select("key", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-        cells = cut.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
-            F.collect_list(F.when(F.col("mine") <= F.col("other"), F.col("rep"))).alias("x"), F.collect_list(F.when(F.col("mine") >= F.col("other"), F.col("rep"))).alias("y")
-        )
-        # a cell of one block has it on both sides: each two of its classes once, none with itself
-        of_cell = cells.select("i", "j", F.explode("x").alias("p"), "y").select("i", "j", "p", F.explode("y").alias("q")).where("i < j or p < q")
-        pairs = pairs.unionByName(of_cell.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= agreements).select("a", "b")
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """a, b, shared, either of the candidate pairs that reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = texts.join(wanted, "id", "left_semi")
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    pairs = lists.select(F.inline(of_list)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= agreements).select("a", "b")
+    if count.where(F.col("n") > region).isEmpty():
+        return pairs
+    crowded = here.where(F.col("n") > region).select("rep").distinct()
+    return pairs.unionByName(sharing(sets.join(crowded, "rep", "left_semi").distinct(), threshold, region)).distinct()
+
+
+def sharing(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a < b: every pair of sets (rep, sh) that can reach the threshold, by prefixes of the rarest members; exact.
+
+    Two sets of that similarity share one of their first n - ceil(threshold * n) + 1 members, whatever one order all sets are
+    put in. The order is by how many sets hold a member, so phrases that many texts hold stand behind the prefixes. A pair is
+    kept at a member only if what follows it in both, and their sizes, still allow the threshold. Members that many sets have
+    in their prefixes are split into blocks, every two of which are joined on their own.
+    """
+    each = sets.select("rep", F.explode("sh").alias("m"))
+    often = each.groupBy("m").agg(F.count(F.lit(1)).alias("df"))
+    # members of one set pair nothing, but they count for the place of the others
+    order = each.join(often, "m").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("o"))
+    n = F.size("o")
+    head = order.select("rep", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), n - F.ceil(threshold * n - 1e-9).cast("int") + 1)).alias("p", "x"))
+    head = checkpointed(head.where("x.df > 1").select("rep", "n", "p", F.col("x.m").alias("m")))
+    k = F.ceil(F.col("c") / block).cast("int")
+    counted = head.join(head.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "m").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    cut = counted.select("m", "rep", "n", "p", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cells = cut.groupBy("m", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
+        F.collect_list(F.when(F.col("mine") <= F.col("other"), F.struct("rep", "n", "p"))).alias("x"), F.collect_list(F.when(F.col("mine") >= F.col("other"), F.struct("rep", "n", "p"))).alias("y")
+    )
+    # a cell of one block has it on both sides: each two of its sets once, none with itself
+    both = cells.select("i", "j", F.explode("x").alias("u"), "y").select("i", "j", "u", F.explode("y").alias("v")).where("i < j or u.rep < v.rep")
+    shared = F.least(F.col("u.n") - F.col("u.p"), F.col("v.n") - F.col("v.p"))
+    need = threshold / (1 + threshold) * (F.col("u.n") + F.col("v.n"))
+    fits = (F.least("u.n", "v.n") >= threshold * F.greatest("u.n", "v.n") - 1e-9) & (shared >= need - 1e-9)
+    return both.where(fits).select(F.least("u.rep", "v.rep").alias("a"), F.greatest("u.rep", "v.rep").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, shared, either of the candidate pairs that reach the threshold; only the sets of their representatives are joined."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    some = sets.join(wanted, "rep", "left_semi").distinct()
+    both = pairs.join(some.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a").join(some.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b").select("a", "b", "sa", "sb")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shared, either = [], []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = shingles(x, size), shingles(y, size)
-                n = len(np.intersect1d(p, q, assume_unique=True))
-                shared.append(n)
-                either.append(len(p) + len(q) - n)
-            keep = pa.array([i for i, (n, m) in enumerate(zip(shared, either)) if m and n >= threshold * m - 1e-9], pa.int32())
+            x, y = b.column(2), b.column(3)
+            left, right = x.values.to_numpy(), y.values.to_numpy()
+            lo, ro = x.offsets.to_numpy(), y.offsets.to_numpy()
+            shared = np.array([len(np.intersect1d(left[lo[i] : lo[i + 1]], right[ro[i] : ro[i + 1]], assume_unique=True)) for i in range(b.num_rows)], dtype=np.int64)
+            either = np.diff(lo) + np.diff(ro) - shared
+            keep = pa.array(np.nonzero(shared >= threshold * either - 1e-9)[0])
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(shared, pa.int32()).take(keep), pa.array(either, pa.int32()).take(keep)], names=["a", "b", "shared", "either"])
 
     return both.mapInArrow(run, f"a {kind}, b {kind}, shared int, either int").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.min("either").alias("either"))
@@ -174,15 +199,18 @@ class NearDuplicates:
         # one signature a class; equal sets have equal signatures, so copies combine before the shuffle
         classes = sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
         #: (a, b, shared, either): representatives of different classes that reach the threshold
-        self.links = _compared(_candidates(classes, shallow, region, agreements), texts, size, threshold)
+        sets = sketches.select(F.col("id").alias("rep"), "sh")
+        self.links = _compared(_candidates(classes, sets, shallow, region, agreements, threshold), sets, threshold)
 
     def pairs(self) -> DataFrame:
         """a < b: all pairs of different ids that reach the threshold, copies included."""
         m = self.members.select("id", "rep")
         left, right = m.select(F.col("id").alias("x"), F.col("rep").alias("a")), m.select(F.col("id").alias("y"), F.col("rep").alias("b"))
         across = self.links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-        many = self.members.where("n_members > 1")
-        within = many.select(F.col("id").alias("x"), "rep").join(many.select(F.col("id").alias("y"), "rep"), "rep").select("x", "y")
+        # copies of one text: every two blocks of a class are joined on their own
+        many = self.members.where("n_members > 1").withColumn("k", F.ceil(F.col("n_members") / COPIES).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        block = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+        within = many.select(F.col("id").alias("x"), "rep", "mine", block.alias("other")).join(many.select(F.col("id").alias("y"), "rep", F.col("mine").alias("other"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("mine")), ["rep", "mine", "other"]).select("x", "y")
         return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def groups(self) -> DataFrame:
