@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 
 from vellumflow.llm import canon
@@ -38,6 +40,26 @@ def test_idempotent_and_equal():
     assert canon.canonical("Ｐython", TABLE)[0] == canon.canonical("Py​thon", TABLE)[0] == "Python"
 
 
+def test_equal_looking_lines_are_equal_over_code_points():
+    # all of the basic plane but ideographs and syllables, and the planes' blocks that have compatibility forms or emoji
+    ranges = [(0, 0x3500), (0xA000, 0xAC10), (0xD7A0, 0xD800), (0xF900, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1FB00), (0x2F800, 0x2F900), (0xE0000, 0xE0200)]
+    for o in itertools.chain(*[range(*r) for r in ranges]):
+        line = f"ab {chr(o)} machine"
+        form = canon.canonical(line, TABLE)[0]
+        assert canon.canonical(form, TABLE)[0] == form, hex(o)
+        for other in (f"a\u200bb {chr(o)} machine", f"ab\u00a0{chr(o)} machine", f"ａb {chr(o)} machine", f"ab {chr(o)} m\u0430chine"):
+            assert canon.canonical(other, TABLE)[0] == form, (hex(o), other)
+
+
+def test_signs_stay_on_both_paths():
+    assert canon.canonical("½ cup … ™", TABLE)[0] == canon.canonical("½ c\u200bup … ™", TABLE)[0] == "½ cup … ™"
+
+
+def test_the_lattice_decides():
+    assert canon.best_path("m\u0430chine", TABLE) == ("machine", True)
+    assert kinds("\u044ffgw") == ("\u044ffgw", {"mixed"})  # no path of one script
+
+
 def test_fold_keeps_places():
     text = "Рr⁠оf. Fenvé Ｔｅｌ"
     plain, places = folded(text)

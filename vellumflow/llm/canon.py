@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from vellumflow.llm.chars import ARMENIAN_TO_LATIN, CYRILLIC_TO_LATIN, GREEK_TO_LATIN, IGNORABLE, script
 
 KINDS = ("fullwidth", "apart", "invisible", "space", "joined", "mixed")
-#: Characters that are no case whatever stands around them; a line of these alone is in its consistent form.
-PLAIN = r"\t\n\r -~¡-¬®-ıĴ-ǃǍ-ǰǴ-ɏḀ-ỿ‐-‧‰-⁞₠-⃏℀-⯿、-〿ぁ-ゖァ-ヿ一-鿿가-힣！-／：-＠［-｀｛-､"
+#: Characters that are no case whatever stands around them: they stay as they are, and a line of these alone is in its consistent form.
+PLAIN = r"\t\n\r -~¡-¬®-ıĴ-ǃǍ-ǰǴ-ɏḀ-ỿ‐-‧‰-⁞₠-⃏℀-℥℧-℩ℬ-⌨⌫-⫛⫝-⯿、-〿ぁ-ゖァ-ヿ一-鿿가-힣！-／：-＠［-｀｛-､"
 _ODD = re.compile(f"[^{PLAIN}]")
+_ODD_RUN = re.compile(f"[^{PLAIN}]+")
 _MARKS = r"̀-ͯ᪰-᫿᷀-᷿⃐-⃜"
 _APART = re.compile(rf"[^\W\d_][{_MARKS}]")
 _FULL = re.compile(r"[０-９Ａ-Ｚａ-ｚ]")
@@ -103,10 +104,11 @@ def _alike() -> dict[str, list[str]]:
 
 ALIKE = _alike()
 SWITCH, CHANGED = 60.0, 1.0
+_ANY = {"", "common", "cjk"}  # what stands beside letters of any script
 
 
-def one_script(word: str, table: np.ndarray) -> str:
-    """The path of one script with the best bigram scores through the look-alikes of a mixed word; the word if there's none."""
+def best_path(word: str, table: np.ndarray) -> tuple[str, bool]:
+    """The path with the best bigram scores through the look-alikes of a word, and whether it is of one script; if it isn't, the word itself."""
     lattice = []
     for ch in word:
         options = [(ch, script(ch), 0.0)]
@@ -127,7 +129,7 @@ def one_script(word: str, table: np.ndarray) -> str:
         out.append(options[k][0])
         kinds.add(options[k][1])
         k = row[k][1]
-    return "".join(reversed(out)) if len(kinds) == 1 else word
+    return ("".join(reversed(out)), True) if len(kinds - _ANY) < 2 else (word, False)
 
 
 def _emoji(ch: str) -> bool:
@@ -155,27 +157,41 @@ def _shown(text: str) -> tuple[str, bool]:
     return "".join(out), dropped
 
 
-def _is_mixed(word: str) -> bool:
-    kinds = {script(c) for c in word} - {"", "common", "cjk"}
-    return len(kinds) > 1
+def _apart(m: re.Match) -> str:
+    return unicodedata.normalize("NFKC", m[0])
 
 
 def canonical(text: str, table: np.ndarray) -> tuple[str, int]:
-    """The consistent form and the kinds of differences, bit k for KINDS[k]."""
+    """The consistent form and the kinds of differences, bit k for KINDS[k], each by what its step changed.
+
+    Compatibility forms are taken of the characters outside of PLAIN only, so that a sign such as a fraction or a trade mark
+    is the same in every line, whatever else the line holds.
+    """
     if not _ODD.search(text):
         return text, 0
-    found = 0
     shown, dropped = _shown(text)
-    found |= 4 if dropped else 0
-    found |= 1 if _FULL.search(shown) else 0
-    found |= 2 if _APART.search(shown) else 0
-    found |= 8 if _SPACE.search(shown) else 0
-    found |= 16 if _JOINED.search(shown) else 0
-    plain = unicodedata.normalize("NFKC", _SPACE.sub(" ", shown))
-    if any(_is_mixed(w) for w in _WORD.findall(plain)):
-        found |= 32
-        plain = _WORD.sub(lambda m: one_script(m[0], table) if _is_mixed(m[0]) else m[0], plain)
-    return plain, found
+    found = 4 if dropped else 0
+    spaced = _SPACE.sub(" ", shown)
+    if spaced != shown:
+        found |= 8
+    if _FULL.search(spaced):
+        found |= 1
+    if _JOINED.search(spaced):
+        found |= 16
+    if _APART.search(spaced):
+        found |= 2
+    composed = unicodedata.normalize("NFC", spaced)
+    plain = unicodedata.normalize("NFC", _ODD_RUN.sub(_apart, composed))
+    out, at = [], 0
+    for m in _WORD.finditer(plain):
+        if m[0].isascii() or len({script(c) for c in m[0]} - _ANY) < 2:
+            continue  # all letters of one script: no choice to be made
+        word, whole = best_path(m[0], table)
+        if word != m[0] or not whole:
+            found |= 32  # the best path has other letters than the stored word, or no path is of one script
+        out += [plain[at : m.start()], word]
+        at = m.end()
+    return ("".join(out) + plain[at:] if out else plain), found
 
 
 def suspicious(text: Column) -> Column:

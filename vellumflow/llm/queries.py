@@ -67,18 +67,18 @@ def _letter_pairs(spark: SparkSession, sf_dir: str):
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and bullets that look like ordinary text and differ from it in characters."""
+    """Lines and bullets that look like ordinary text and differ from it in characters: those a step of the consistent form changes."""
     odd = _lines(spark, sf_dir).where(canon.suspicious(F.col("line")))
     done = canon.canonical_texts(odd, ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir))
     return done.where("found > 0").select("field", "doc_id", "pos").distinct()
 
 
 def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines of each field differ by each kind."""
+    """How many lines of each field differ by each kind, and how many distinct forms they have."""
     odd = _lines(spark, sf_dir).where(canon.suspicious(F.col("line"))).distinct()
     done = canon.canonical_texts(odd, ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir)).where("found > 0")
     kinds = F.filter(F.array(*[F.when(F.col("found").bitwiseAND(1 << k) > 0, F.lit(name)) for k, name in enumerate(canon.KINDS)]), lambda x: x.isNotNull())
-    return done.select("field", F.explode(kinds).alias("kind")).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
+    return done.select("field", "text", F.explode(kinds).alias("kind")).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("text").alias("n_forms"))
 
 
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
