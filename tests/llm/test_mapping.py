@@ -50,7 +50,34 @@ def test_automaton_against_plain_distance():
                 s[at], s[at + 1] = s[at + 1], s[at]
         q = "".join(s)
         best = min(((osa(q, f), e) for f, e in forms.items() if osa(q, f) <= min(2, M.allowed(len(f)))), default=None)
-        assert MATCHER.within(q, 2) == (best if q else None), q
+        assert MATCHER.nearest(q, 2) == (best if q else None), q
+        every: dict = {}
+        for f, e in forms.items():
+            if osa(q, f) <= min(2, M.allowed(len(f))):
+                every[e] = min(osa(q, f), every.get(e, 9))
+        assert MATCHER.within(q, 2) == (every if q else {}), q
+
+
+def test_one_edit():
+    r = random.Random(8)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 5))) for _ in range(2))
+        assert M.one_edit(a, b) == (osa(a, b) <= 1), (a, b)
+
+
+def test_leftovers_are_remarks():
+    m = M.Matcher([*ENTRIES, (9, "Research and Ethics Review Board Work", []), (10, "Go", []), (11, "Learning", [])])
+    cases = {
+        "rusty Python of old": 1, "everyday machine learning, mostly": 2, "mostly machin lerning": 2, "Go since school": 10, "Work Board Review Ethcs and Research": 9, "ethics and review board work research": 9,
+        "machine learning": 2, "learning": 11, "Gopher keeping": 0, "learn": 0,
+    }
+    assert {k: m.find(k) for k in cases} == cases
+
+
+def test_near_entries(spark):
+    rows = [("deep learning",), ("Rsut",), ("Rust",), ("Rust",), (None,), (" ",), ("origami",)]
+    got = {tuple(r) for r in M.near_entries(spark.createDataFrame(rows, "skill_id string"), "skill_id", ENTRIES).collect()}
+    assert got == {("deep learning", 8, 0), ("Rsut", 7, 1), ("Rust", 7, 0)}
 
 
 def test_in_spark(spark):

@@ -3,8 +3,9 @@
 Names and values are compared without case, accents, look-alike letters, ignorable characters, spaces, hyphens and
 underscores. The automaton is bit-parallel: one bit mask of reachable positions for each number of edits (insertion,
 deletion, substitution, swap of neighbours), stepped along the trie; a branch ends when all masks are empty. The greatest
-distance depends on the length. Further alias paths: words abbreviated with a point, words in another order, and the value
-without levels, versions and remarks around it.
+distance depends on the length, and the search yields every entry within it; the nearest is the one meant. Further alias
+paths: words abbreviated with a point, words in another order (one of them with an edit), and a form inside the value, whose
+other words are then a level, a version or a remark, whatever they are.
 
 Defined results: null, '' and blank values are no values; a value no entry is meant by gives entry 0; among entries at the
 same distance names come before aliases, then the longer form, then the smaller id; repeated rows give repeated rows.
@@ -12,9 +13,9 @@ same distance names come before aliases, then the longer form, then the smaller
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,16 +24,9 @@ from pyspark.sql import functions as F
 from vellumflow.llm.chars import folded
 from vellumflow.operators.packed import Tokenizer
 
-# Words around a name that don't change what is meant.
-REMARKS = frozenset(
-    "basic basics advanced strong expert intermediate beginner senior junior good solid some keen on amateur weekend weekends at hobby club course"
-    " courses evenings evening skill skills experience experienced knowledge of in with years year yrs yr proficient proficiency working"
-    " certified professional fluent excellent very user level expertise practical hands".split()
-)
 _BRACKETS = re.compile(r"\s*[(\[][^()\[\]]*[)\]]?\s*")
-_VERSION = re.compile(r"v?\d+(?:\.\d+)*[+x]?", re.I)
 _JOINERS = re.compile(r"[\s_-]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+SURE = 6  # letters of a run that may hold an edit beside a remark
 
 
 def allowed(length: int) -> int:
@@ -40,6 +34,20 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 7 else 2
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion, substitution or swap of neighbours makes b of a."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    if len(a) < len(b):
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
 def plain(text: str) -> str:
     return _JOINERS.sub(" ", folded(text)[0].replace("\x00", " ")).strip().lower()
 
@@ -53,10 +61,11 @@ class Matcher:
 
     def __init__(self, entries: list[tuple[int, str, list[str]]]):
         self.exact: dict[str, tuple[int, int, int]] = {}  # form -> (0 name / 1 alias, -length, id)
-        self.words: dict[tuple[str, ...], tuple[int, int, int]] = {}
         self.trie: dict = {}
         self.spaced: dict = {}
-        self.longest = 0
+        self.forms: list[tuple[tuple[str, ...], tuple[int, int, int]]] = []
+        self.of_word: dict[str, list[int]] = {}  # word -> places in forms
+        self.longest, self.most_words = 0, 1
         for i, name, aliases in sorted(entries, key=lambda e: e[0]):
             for rank, form in [(0, name), *((1, a) for a in aliases or ())]:
                 p = plain(form)
@@ -67,9 +76,12 @@ class Matcher:
                 if entry < self.exact.get(s, (9,)):
                     self.exact[s] = entry
                 self.longest = max(self.longest, len(s))
-                key = tuple(sorted(p.split(" ")))
-                if len(key) > 1 and entry < self.words.get(key, (9,)):
-                    self.words[key] = entry
+                form_words = tuple(p.split(" "))
+                self.most_words = max(self.most_words, len(form_words), s.count("-") + 1)
+                if len(form_words) > 1:
+                    for w in set(form_words):
+                        self.of_word.setdefault(w, []).append(len(self.forms))
+                    self.forms.append((form_words, entry))
                 for form_words in {p, plain(form.replace("-", ""))}:
                     node = self.spaced
                     for c in form_words + " ":
@@ -83,11 +95,12 @@ class Matcher:
             node[""] = (entry, len(s))
         self._known: dict[str, int] = {}
 
-    def within(self, s: str, most: int) -> tuple[int, tuple[int, int, int]] | None:
-        """(distance, entry) of the nearest form to s within `most` edits and within what its length allows."""
+    def within(self, s: str, most: int) -> dict[tuple[int, int, int], int]:
+        """Every entry with a form within `most` edits of s and within what the form's length allows, with the least distance."""
         n = len(s)
+        found: dict[tuple[int, int, int], int] = {}
         if n == 0 or n > self.longest + most:
-            return None
+            return found
         masks: dict[str, int] = {}
         for i, c in enumerate(s):
             masks[c] = masks.get(c, 0) | (2 << i)
@@ -99,27 +112,24 @@ class Matcher:
         for _ in range(most + 1):
             start.append(level)
             level |= (level << 1) & full
-        best: tuple[int, tuple[int, int, int]] | None = None
+        levels = range(1, most + 1)
         stack = [(self.trie, tuple(start), (0,) * (most + 1), 0)]
         while stack:
             node, now, before, last = stack.pop()
-            end = node.get("")
-            if end is not None:
-                entry, size = end
-                for j in range(min(most, allowed(size)) + 1):
-                    if now[j] & goal:
-                        if best is None or (j, entry) < best:
-                            best = (j, entry)
-                        break
-            limit = most if best is None else min(most, best[0])
             for c, child in node.items():
                 if c == "":
+                    entry, size = child
+                    for j in range(min(most, allowed(size)) + 1):
+                        if now[j] & goal:
+                            found[entry] = min(j, found.get(entry, j))
+                            break
                     continue
                 m = masks.get(c, 0)
-                new = [(now[0] << 1) & m]
-                alive = new[0]
-                for j in range(1, limit + 1):
-                    r = ((now[j] << 1) & m) | now[j - 1] | (now[j - 1] << 1) | (new[j - 1] << 1)
+                r = (now[0] << 1) & m
+                new = [r]
+                alive = r
+                for j in levels:
+                    r = ((now[j] << 1) & m) | now[j - 1] | (now[j - 1] << 1) | (r << 1)
                     if last and before[j - 1]:
                         # s holds c and then the path's previous letter, the path the other way round
                         r |= (((before[j - 1] << 1) & m) << 1) & last
@@ -127,8 +137,27 @@ class Matcher:
                     new.append(r)
                     alive |= r
                 if alive:
-                    new += [0] * (most - limit)
                     stack.append((child, tuple(new), now, m))
+        return found
+
+    def nearest(self, s: str, most: int) -> tuple[int, tuple[int, int, int]] | None:
+        """(distance, entry) of the nearest of the entries within `most` edits."""
+        found = self.within(s, most)
+        return min((d, e) for e, d in found.items()) if found else None
+
+    def reordered(self, words: Sequence[str]) -> tuple[int, tuple[int, int, int]] | None:
+        """(distance, entry) of the nearest form that has the value's words in another order, at most one of them with one edit."""
+        counts = Counter(words)
+        shared = Counter(f for w in counts for f in self.of_word.get(w, ()))
+        best = None
+        for f, n in shared.items():
+            form, entry = self.forms[f]
+            if len(form) != len(words) or n < len(counts) - 1:
+                continue
+            ours, theirs = list((counts - Counter(form)).elements()), list((Counter(form) - counts).elements())
+            d = 0 if not ours else 1 if len(ours) == 1 and allowed(sum(map(len, form))) and one_edit(ours[0], theirs[0]) else None
+            if d is not None and (best is None or (d, entry) < best):
+                best = (d, entry)
         return best
 
     def abbreviated(self, p: str) -> tuple[int, int, int] | None:
@@ -157,49 +186,61 @@ class Matcher:
         found = [n[""] for n in nodes if "" in n]
         return min(found) if found else None
 
-    def _variants(self, value: str) -> list[str]:
-        """The value and its forms without brackets, versions and remarks, the fullest first."""
-        out = [plain(value).strip("!?.,;:*'\" ") if not value.strip().startswith(".") else plain(value).rstrip("!?,;:*'\" ")]
-        bare = _BRACKETS.sub(" ", plain(value)).strip()
-        words = [w for w in bare.split(" ") if w]
-        for cut in range(2):
-            while words and (words[-1].rstrip("!?.,;:") in REMARKS or (len(words) > 1 and _VERSION.fullmatch(words[-1].rstrip("!?,;:")))):
-                words.pop()
-            while words and words[0].rstrip(":,") in REMARKS:
-                words.pop(0)
-            out.append(" ".join(words).rstrip("!?,;:"))
-        return [v for v in dict.fromkeys(out) if v]
-
     def _find(self, value: str) -> int:
-        variants = self._variants(value)
+        whole = plain(value)
+        whole = whole.strip("!?.,;:*'\" ") if not value.strip().startswith(".") else whole.rstrip("!?,;:*'\" ")
+        bare = _BRACKETS.sub(" ", whole).strip().rstrip("!?,;:")
+        variants = [v for v in dict.fromkeys((whole, bare)) if v]
         for v in variants:
-            e = self.exact.get(squash(v))
+            e = self.exact.get(squash(v)) or self.abbreviated(v)
             if e:
                 return e[2]
-        for v in variants:
-            e = self.abbreviated(v)
-            if e:
-                return e[2]
-        for v in variants:
-            w = v.split(" ")
-            if len(w) > 1:
-                e = self.words.get(tuple(sorted(w)))
-                if e:
-                    return e[2]
         found = []
         for v in variants:
-            s = squash(v)
-            hit = self.within(s, allowed(len(s) + 1))
+            w = [x for x in v.split(" ") if x]
+            if len(w) > 1:
+                hit = self.reordered(w)
+                if hit:
+                    found.append((hit[0] + (0.5 if hit[0] else 0.0), hit[1]))
+            hit = self.nearest(squash(v), allowed(len(squash(v)) + 1))
             if hit:
                 found.append(hit)
-            w = v.split(" ")
-            if 2 <= len(w) <= 4:
-                for order in itertools.permutations(w):
-                    if list(order) != w:
-                        hit = self.within("".join(order), min(1, allowed(len(s))))
-                        if hit:
-                            found.append((hit[0] + 0.5, hit[1]))
-        return min(found)[1][2] if found else 0
+        if found:
+            return min(found)[1][2]
+        return self._inside([w.strip("!?,;:") for w in bare.split(" ")])
+
+    def _inside(self, words: list[str]) -> int:
+        """The entry that a run of the words names: what is left over on both sides is a level, a version or a remark.
+
+        The longest run that is a form holds, then the longest abbreviated or reordered one, then the longest of at least
+        `SURE` letters that is within the distance of one.
+        """
+        words = [w for w in words if w]
+        runs = list(dict.fromkeys(tuple(words[i : i + n]) for n in range(min(len(words) - 1, self.most_words), 0, -1) for i in range(len(words) - n + 1)))
+        runs.sort(key=lambda r: -sum(map(len, r)))
+        for r in runs:
+            e = self.exact.get("".join(r))
+            if e:
+                return e[2]
+        for r in runs:
+            e = self.abbreviated(" ".join(r))
+            hit = (0, e) if e else self.reordered(r) if len(r) > 1 else None
+            if hit:
+                return hit[1][2]
+        for r in runs:
+            s = "".join(r)
+            hit = self.nearest(s, allowed(len(s))) if len(s) >= SURE else None
+            if hit:
+                return hit[1][2]
+        return 0
+
+    def near(self, value: str) -> dict[int, int]:
+        """Every entry within the distance that the value's length allows, by its name or an alias, with that distance."""
+        s = squash(plain(value))
+        out: dict[int, int] = {}
+        for (_, _, i), d in self.within(s, allowed(len(s) + 1)).items():
+            out[i] = min(d, out.get(i, d))
+        return out
 
     def find(self, value: str) -> int:
         known = self._known.get(value)
@@ -248,3 +289,16 @@ def map_values(df: DataFrame, column: str, entries: list[tuple[int, str, list[st
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), *new], names=[*b.schema.names[:at], to, count])
 
     return picked.mapInArrow(run, text)
+
+
+def near_entries(df: DataFrame, column: str, entries: list[tuple[int, str, list[str]]]) -> DataFrame:
+    """value, skill_id, distance: every entry within the length-dependent distance of each distinct value of a column."""
+    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).where(F.length(F.trim("value")) > 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(entries)
+        for b in batches:
+            rows = [(v, i, d) for v in b.column(0).to_pylist() for i, d in matcher.near(v).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32()))], names=["value", "skill_id", "distance"])
+
+    return values.mapInArrow(run, "value string, skill_id bigint, distance int")

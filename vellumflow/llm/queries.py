@@ -113,6 +113,13 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n_entered"))
 
 
+def p6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed skill within the distance of each distinct entered value, and the distance."""
+    m = table(spark, sf_dir, "skill_match").select("skill")
+    p = table(spark, sf_dir, "parsed_resume").select(F.explode("skill_section_terms").alias("skill"))
+    return mapping.near_entries(m.unionByName(p), "skill", mapping.entries_of(table(spark, sf_dir, "ontology")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_texts(documents(spark, sf_dir, "text"), "doc_id", "text")
@@ -150,7 +157,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pages"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in spam.FEATURES])
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_texts": p4_texts, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_texts": p4_texts, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p6_candidates": p6_candidates, "p7_ids": p7_ids, "p7_lengths": p7_lengths, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_shares": p9_shares}
 _INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
 _SHOWN = f"regexp_replace(line, '{_INVISIBLE}', '', 'g')"
 _FOUND = " OR ".join(
