@@ -88,3 +88,18 @@ def test_pages(spark):
     assert {r.doc_id for r in spam.find_stuffed(df, "doc_id", "text", "lang").collect()} == {3, 4, 5, 6, 7, 12, 14}
     assert {r.doc_id for r in spam.find_stuffed(df, "doc_id", "text").collect()} == {3, 4, 5, 6, 7, 12, 14}
     assert spam.find_stuffed(df.where("doc_id > 90"), "doc_id", "text").count() == 0
+
+
+POLISH = [
+    "Szukamy osoby, która chce pracować w naszym zespole i nie boi się pytać o dane. W biurze jest cicho, a spotkania są raz w tygodniu.", "List jest krótki, bo nie ma w nim nic o pracy, która się nie udała, i o tym, co z niej wynika.",
+    "Nie wiem, czy to jest dobre miejsce, ale w zespole są osoby, które się na tym znają i chętnie o tym mówią.", "To jest praca w małym biurze, gdzie nie ma pośpiechu i gdzie każdy wie, co się dzieje w firmie.",
+]
+
+
+def test_languages_without_a_list(spark):
+    honest = [(i, " ".join(POLISH[(i + k) % 4] for k in range(1 + i % 3)), "pl") for i in range(12)] + [(20, POLISH[0] + "\nPython, SQL, Linux", "pl"), (21, POLISH[1] + " " + POLISH[3], None)]
+    stuffed = [(30, "praca zdalna | wzór cv | praca zdalna | " * 20, "pl"), (31, "\n".join(f"- [wzór cv](http://x{i}.test/a)" for i in range(30)), "pl"), (32, "#praca #cv #zarobki " * 15, None)]
+    df = spark.createDataFrame(honest + stuffed, "doc_id bigint, text string, lang string")
+    learned = spam.learn_words(df, "text", "lang")
+    assert set(learned) == {"pl"} and {"w", "nie", "jest", "się"} <= set(learned["pl"]) and "zdalna" not in learned["pl"]
+    assert {r.doc_id for r in spam.find_stuffed(df, "doc_id", "text", "lang").collect()} == {30, 31, 32}
