@@ -2,7 +2,8 @@
 
 A text is folded (look-alike, full-width and accented letters to plain ones, invisible characters dropped, places kept) and
 cut into overlapping windows. All windows of a batch run through the network together; where windows overlap their scores
-are averaged, each weighted by the distance to its window's edge, and one Viterbi pass over the whole text reconciles them.
+are averaged, each weighted by the distance to its window's edge, and Viterbi over the averaged scores reconciles them; long
+stretches that can't be anything but outside cut the text into parts that are decoded on their own (`lead`).
 A proposed span then snaps to the value's shape (an e-mail address, a number of digits, words) or is dropped.
 
 Defined results: null, '' and blank texts hold nothing; texts of any length are read whole; positions count characters of
@@ -26,13 +27,14 @@ from vellumflow.llm.chars import folded
 
 WEIGHTS = Path(__file__).with_name("pii_bilstm_crf.npz")
 WINDOW, OVERLAP, AT_ONCE = 256, 48, 512
-LEAD, CERTAIN = 9.0, 8
+CERTAIN = 8
 Span = tuple[int, int, str]
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| @ | ?\[at\] ?| ?\(at\) ?)[A-Za-z0-9-]+(?:(?:\.| ?\((?:dot)\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)*(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}", re.I)
 _PHONE = re.compile(r"(?<![\w@./-])(?:\+ ?|\()?\d(?:[\d().]| (?! )|[/-](?=\d))*\d(?![\w@]|[./-]\d)")
 _NOT_PHONE = re.compile(r"(?:19|20)\d\d ?(?:-|to) ?(?:19|20)\d\d|\d{1,3}(?:,\d{3})+|\d{3,4}-\d{1,2}-\d{2,4}|\d+\.\d+\.\d{1,2}(?:\.\d+)*")
 _TITLES = re.compile(r"(?:(?:Dr|Prof|Mx|Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Mme|M|Sr|Sra|Ing|PhD)\.? |(?:Candidate|Name|Applicant|Contact|By|Curriculum Vitae)(?::| -)? )+", re.I)
+_WHITE = re.compile(r"\s")
 _NAME_WORD = re.compile(r"[A-Za-z][A-Za-z'’.-]*")
 _STREET = "Street|St|Road|Rd|Lane|Ln|Blvd|Boulevard|Court|Ct|Row|Avenue|Ave|Drive|Dr|Close|Square|Sq|Way|Terrace|Hill|Crescent|Place|Gardens|Mews"
 _ADDRESS = re.compile(
@@ -77,12 +79,19 @@ def _scored(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> list[np.ndarra
     return [x / m[:, None] for x, m in zip(total, mass)]
 
 
+def lead(p: dict[str, np.ndarray]) -> float:
+    """By how much the outside score must lead at each character for no transition to make up for it: two enter and leave a tag, each may differ by the spread."""
+    known = p["trans"][M.ALLOWED]
+    return 4.0 + 4.0 * float(known.max() - known.min())
+
+
 def _decoded(p: dict[str, np.ndarray], scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Tags of each text: stretches of more than CERTAIN characters whose outside score leads by LEAD are outside, what lies between is decoded whole."""
+    """Tags of each text: stretches of more than CERTAIN characters whose outside score leads by `lead` are outside, each of what lies between is decoded whole."""
+    least = lead(p)
     tags = [np.zeros(len(s), dtype=np.uint8) for s in scores]
     parts = []
     for t, s in enumerate(scores):
-        live = (s[:, 1:].max(1) + LEAD) > s[:, 0]
+        live = (s[:, 1:].max(1) + least) > s[:, 0]
         at = np.nonzero(live)[0]
         if not len(at):
             continue
@@ -118,10 +127,13 @@ def _spans(tags: np.ndarray) -> list[Span]:
     return out
 
 
-def _covering(pattern: re.Pattern, text: str, a: int, b: int, around: int = 70) -> re.Match | None:
+def _covering(pattern: re.Pattern, text: str, a: int, b: int, around: int) -> re.Match | None:
+    """The match that covers a part of the span, sought from and to the white space beyond `around` characters on both sides."""
     lo, hi = max(0, a - around), min(len(text), b + around)
     while lo > 0 and not text[lo - 1].isspace():
         lo -= 1
+    m = _WHITE.search(text, hi)
+    hi = m.start() if m else len(text)
     for m in pattern.finditer(text, lo, hi):
         if m.start() < b and m.end() > a:
             return m
@@ -131,7 +143,7 @@ def _covering(pattern: re.Pattern, text: str, a: int, b: int, around: int = 70)
 def _snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The value that a proposed span means, by its shape; None if the span has not the shape of its kind."""
     if kind == "email":
-        m = _covering(_EMAIL, text, a, b)
+        m = _covering(_EMAIL, text, a, b, 70)
         return m.span() if m and not m[0].endswith(tuple("0123456789")) else None
     if kind == "phone":
         m = _covering(_PHONE, text, a, b, 24)

@@ -1,7 +1,7 @@
 """Trains the tagger of `pii` and writes its weights: `python -m vellumflow.llm.pii_train SF_DIR`.
 
 Labelled spans: at most MAX_DOCS résumés (a bounded sample) are labelled by context rules and the lists of given and
-family names in candidate_name; half of the names are then replaced by random ones, so that context and shape are
+family names in candidate_name; the names of two fifths of them are then replaced by random ones, so that context and shape are
 learned and not a list. Contact columns and short invented lines with other labels and formats complete the sample.
 """
 
@@ -171,8 +171,8 @@ def windows(samples: list, r: random.Random) -> tuple[np.ndarray, np.ndarray, np
     return np.array(xs), ys, np.array(ns)
 
 
-def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
-    """`more` goes on from the weights there are."""
+def train(sf_dir: str, epochs: int = EPOCHS, more: bool = False) -> None:
+    """Trains for `epochs`, whatever time they take, so that training repeats; `more` goes on from the weights there are."""
     import pandas as pd
 
     r = random.Random(7)
@@ -197,7 +197,7 @@ def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
     hx, hy, hn = windows(held, random.Random(1))
     by_length = np.argsort(hn, kind="stable")
     hx, hy, hn = hx[by_length], hy[by_length], hn[by_length]
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         samples = [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(labelled, len(labelled) // 2)]
         samples += [renamed(t, s, r) if r.random() < 0.4 else (t, s) for t, s in r.sample(field_samples, 2500)]
         samples += [invented(r) for _ in range(1500)]
@@ -212,7 +212,7 @@ def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
             total += loss
             norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
             clip = min(1.0, 1.0 / (norm + 1e-9))
-            rate = RATE * min(1, step / 60) * (0.5 * (1 + np.cos(np.pi * min(1, step / (EPOCHS * batches)))) + 0.02)
+            rate = RATE * min(1, step / 60) * (0.5 * (1 + np.cos(np.pi * min(1, step / (epochs * batches)))) + 0.02)
             for k in p:
                 q = g[k] * clip
                 m[k] = 0.9 * m[k] + 0.1 * q
@@ -222,8 +222,6 @@ def train(sf_dir: str, seconds: float = 900, more: bool = False) -> None:
         right = int(((tags == hy) & (hy > 0)).sum())
         print(f"epoch {epoch}: loss {total / batches:.4f}, held-out precision {right / max(1, (tags > 0).sum()):.4f} recall {right / max(1, (hy > 0).sum()):.4f}, {time.time() - began:.0f} s", flush=True)
         np.savez_compressed(WEIGHTS, **{k: q.astype(np.float32) for k, q in p.items()})
-        if time.time() - began > seconds:
-            break
 
 
 if __name__ == "__main__":
