@@ -31,12 +31,20 @@ def test_wrappings_and_unbalanced():
     assert TOK.values("open), b") == ["open)", "b"]
 
 
+def test_quotes_hide_brackets():
+    assert TOK.values('(a "x)" b, c), d') == ['(a "x)" b, c)', "d"]
+    assert TOK.values('"a (b", c), d') == ["a (b", "c)", "d"]
+    assert TOK.values('x (a "y, z) w, v') == ['x (a "y, z) w', "v"]
+    assert TOK.values("a (b (c, d), e") == ["a (b (c, d)", "e"]
+    assert TOK.values('say ("a, b", c; d) | "e \\" f, g" | (h') == ['say ("a, b", c; d)', 'e " f, g', "(h"]
+
+
 def test_empty_repeated_and_long():
     assert TOK.values(None) == TOK.values("") == TOK.values(" , ;; ") == []
     assert TOK.values("a,,a, ,a;") == ["a", "a", "a"]
     assert len(TOK.values("x, " * 50_000)) == 50_000
     assert len(TOK.values('"' * 20_001 + ",a")) >= 1
-    assert TOK.values("(" * 5_000 + ",a")[-1] == "a"
+    assert TOK.values("(" * 200_000 + ",a")[-1] == "a"
 
 
 @settings(max_examples=200, deadline=None)

@@ -20,7 +20,7 @@ SPACED = ("&", "+", "-", "–", "—", "and")
 _SPACED = re.compile(r"\s+(?:[&+–—-]|and)\s+|(?<=[,;])\s*and\s+", re.I)
 _GAP = re.compile(r" {3,}")
 _LABEL = re.compile(r"\s*[^\W\d_][\w]*(?: (?:& )?[\w]+){0,3}:\s*")
-_START, _PLAIN, _QUOTED, _NESTED = range(4)
+_START, _PLAIN, _QUOTED = range(3)
 
 
 class Tokenizer:
@@ -80,36 +80,51 @@ class Tokenizer:
                 j += 1
         return -1
 
-    @staticmethod
-    def _closing_brackets(text: str) -> dict[int, int]:
-        """Closing index of each balanced round bracket, in one pass; quotes hide brackets only when they're balanced."""
-        open_at: list[int] = []
-        pairs: dict[int, int] = {}
-        for j, c in enumerate(text):
-            if c == "(":
-                open_at.append(j)
-            elif c == ")" and open_at:
-                pairs[open_at.pop()] = j
-        return pairs
-
     def _split(self, text: str) -> list[str]:
+        """One automaton: in quotes or not, and the brackets that are open; separators count outside of both.
+
+        A quote or bracket that nothing closes is an ordinary character. Only the end of the text shows it: then the pass
+        goes back behind the quote, or behind the first of the brackets still open, all of which are ordinary from then on.
+        """
         text = self._unwrap(text)
-        pairs = self._closing_brackets(text) if "(" in text else {}
+        plain: set[int] = set()  # brackets that nothing closes
         cuts: list[tuple[int, int]] = []
-        i, n, state, until, unclosed = 0, len(text), _START, 0, False
-        while i < n:
+        opened: list[int] = []  # places of the open brackets
+        i, n, state, quote, unclosed, cuts_before = 0, len(text), _START, 0, False, 0
+        while True:
+            if i >= n:
+                if state == _QUOTED:
+                    i, state, unclosed = quote + 1, _PLAIN, True  # no later quote can close either
+                    continue
+                if opened:
+                    plain.update(opened)
+                    i, state = opened[0] + 1, _PLAIN
+                    opened, unclosed = [], False
+                    del cuts[cuts_before:]
+                    continue
+                break
             c = text[i]
-            if state in (_QUOTED, _NESTED):
-                i, state = until, _PLAIN
+            if state == _QUOTED:
+                if c == "\\" or (c == '"' and text[i + 1 : i + 2] == '"'):
+                    i += 2
+                    continue
+                state = _PLAIN if c == '"' else _QUOTED
+                i += 1
                 continue
             if c == '"' and not unclosed:
-                end = self._closing_quote(text, i)
-                if end > 0:
-                    state, until = _QUOTED, end + 1
-                    continue
-                unclosed = True  # no later quote can close either
-            if c == "(" and i in pairs:
-                state, until = _NESTED, pairs[i] + 1
+                quote, state = i, _QUOTED
+                i += 1
+                continue
+            if c == "(" and i not in plain:
+                if not opened:
+                    cuts_before = len(cuts)
+                opened.append(i)
+                i, state = i + 1, _PLAIN
+                continue
+            if opened:
+                if c == ")":
+                    opened.pop()
+                i += 1
                 continue
             m = self._name_at(text, i)
             if m and m.end() > i:
