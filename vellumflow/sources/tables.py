@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,17 +16,39 @@ def spread(df: DataFrame, waves: int = 1) -> DataFrame:
     """The same rows in at least `waves` partitions a core.
 
     Work in Python is bound by CPU, not by bytes, so a small file that Spark reads as one partition would keep one core
-    busy. Inputs that already have as many partitions (every large one) pass unchanged and aren't shuffled.
+    busy. Inputs that already have as many partitions (every large one) pass unchanged and aren't shuffled. What counts are
+    the partitions of the scan: the frame isn't planned, let alone run, to know them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores * waves else df.repartition(cores * (waves + 1))
+    return df if _scanned_partitions(df) >= cores * waves else df.repartition(cores * (waves + 1))
+
+
+def _scanned_partitions(df: DataFrame) -> int:
+    """How many partitions a scan of the files behind a frame has, from their number and sizes; 0 if none are known."""
+    conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
+    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if df.inputFiles() else 0.0
+    files = len(df.inputFiles())
+    if not files:
+        return 0
+    most = int(sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
+    each = min(most, max(4 << 20, size / sc.defaultParallelism))
+    return max(int(size // each), files if size / files > each else 0)
 
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """Distinct rows, by one shuffle on `key` into enough partitions for work that is bound by CPU (adaptive coalescing goes by bytes)."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, key).distinct()
+    """Distinct rows of a table of (key, text). Only keys and hashes of texts are shuffled, and the texts of keys that repeat.
+
+    A key that stands once is a distinct row. The repeated keys are counted first; while there are at most BROADCAST_KEYS of
+    them, they are sent to the scan, which keeps all other rows where they are.
+    """
+    value = [c for c in df.columns if c != key]
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__key"))
+    repeated = checkpointed(repeated)
+    side = F.broadcast(repeated) if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else repeated
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    once = df.join(side, same, "left_anti")
+    again = df.join(side, same, "left_semi").groupBy(key, F.xxhash64(*value).alias("__h"), F.md5(F.concat_ws("\u0001", *value)).alias("__m")).agg(*[F.first(c).alias(c) for c in value])
+    return spread(once).unionByName(again.select(*df.columns)).select(*df.columns)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
