@@ -11,26 +11,41 @@ from vellumflow.operators import extract as E
 from vellumflow.operators.parse import BULLET
 
 # Words of technical and of other occupations, each counted at most three times.
-TECH_TERMS = (
-    "engineer|engineering|developer|development|sde|software|programmer|data scientist|machine learning|deep learning|ml|ai"
-    "|artificial intelligence|devops|sre|site reliability|cloud|backend|back end|frontend|front end|full stack|qa|quality assurance"
-    "|test engineer|data engineer|platform engineer|architect|technical|codebase|api"
-).split("|")
-OTHER_TERMS = (
-    "sales|salesperson|marketing|human resources|hr|recruiter|recruitment|accountant|accounting|bookkeeping|nurse|nursing|patient care"
-    "|teacher|teaching|tutor|driver|driving|chef|cook|culinary|customer support|customer service|receptionist|cashier|retail"
-    "|hospitality|waiter|housekeeping"
-).split("|")
-ANALYST_TERMS, ANALYST_TOOLS = ["analyst", "analytics"], "sql|python|tableau|power bi|pandas|numpy|spark|etl".split("|")
+TECH_TERMS = [
+    "engineer", "engineering", "developer", "development", "sde", "software", "programmer", "data scientist", "machine learning", "deep learning",
+    "ml", "ai", "artificial intelligence", "devops", "sre", "site reliability", "cloud", "backend", "back end", "frontend", "front end",
+    "full stack", "qa", "quality assurance", "test engineer", "data engineer", "platform engineer", "architect", "technical", "codebase", "api",
+]
+OTHER_TERMS = [
+    "sales", "salesperson", "marketing", "human resources", "hr", "recruiter", "recruitment", "accountant", "accounting", "bookkeeping", "nurse",
+    "nursing", "patient care", "teacher", "teaching", "tutor", "driver", "driving", "chef", "cook", "culinary", "customer support",
+    "customer service", "receptionist", "cashier", "retail", "hospitality", "waiter", "housekeeping",
+]
+ANALYST_TERMS = [
+    "analyst", "analytics",
+]
+ANALYST_TOOLS = [
+    "sql", "python", "tableau", "power bi", "pandas", "numpy", "spark", "etl",
+]
 CAP, LEAST_SKILLS = 3, 3
 # Headings of blocks, the preferred ones first.
 BLOCKS = {
-    "preferred": "preferred qualifications|preferred skills|nice to have|bonus points|bonus|desired skills|good to have|preferred experience|pluses",
-    "required": "basic qualifications|minimum qualifications|required qualifications|requirements|qualifications|what you need|must have|who you are|required skills|essential skills|we are looking for",
-    "responsibilities": "responsibilities|what you'll do|what you will do|the role|your impact|duties|job description|about the role|day to day",
-}
+    "preferred": [
+        "preferred qualifications", "preferred skills", "nice to have", "bonus points", "bonus", "desired skills", "good to have",
+        "preferred experience", "pluses",
+    ],
+    "required": [
+        "basic qualifications", "minimum qualifications", "required qualifications", "requirements", "qualifications", "what you need", "must have",
+        "who you are", "required skills", "essential skills", "we are looking for",
+    ],
+    "responsibilities": [
+        "responsibilities", "what you'll do", "what you will do", "the role", "your impact", "duties", "job description", "about the role",
+        "day to day",
+    ],
+}
 BASES = {"required": 0.9, "preferred": 0.7}
 FALLBACK = 0.6
+# Fixed value: what a heading looks like.
 HEADING = r"^[ \t#*>-]*[A-Za-z][A-Za-z'’ \t/&]{3,45}[ \t]*:?[ \t]*$"
 # Degrees from the highest, and what stands for them.
 DEGREES = (
@@ -65,7 +80,7 @@ def block_of(line: Column) -> Column:
     ok = F.length(low).between(1, 60) & ~line.rlike(BULLET) & (line.rlike(HEADING) | F.endswith(F.trim(line, F.lit(" \t")), F.lit(":")))
     kind = F.lit(None).cast("string")
     for name in reversed(list(BLOCKS)):
-        kind = F.when(low.rlike(BLOCKS[name]), name).otherwise(kind)
+        kind = F.when(low.rlike("|".join(BLOCKS[name])), name).otherwise(kind)
     return F.when(ok, kind)
 
 

@@ -210,7 +210,7 @@ _UPG = " ".join(f"WHEN fw = '{a}' THEN '{b}'" for a, b in X.UPGRADES.items())
 _NUMS = "regexp_extract_all({x}, " + Q.quoted(X.NUMBER) + ")"
 _NEWNUM = "len([n FOR n IN " + _NUMS.format(x="{b}") + " IF NOT list_contains(" + _NUMS.format(x="{a}") + ", n)]) > 0"
 _BARE = "regexp_replace({x}, '[. ]+$', '')"
-_INT = " ".join(f"WHEN regexp_matches(low, {Q.quoted(w)}) THEN '{n}'" for n, w in X.INTENTS)
+_INT = " ".join(f"WHEN regexp_matches(low, {Q.quoted('|'.join(w))}) THEN '{n}'" for n, w in X.INTENTS)
 
 QUERIES = {
     f.__name__: f

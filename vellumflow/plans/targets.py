@@ -126,7 +126,7 @@ _BLOCKS = f"""{_P}, t AS (SELECT doc_id, {Q.normalised('text')} AS n FROM p),
   l0 AS (SELECT doc_id, unnest(range(0, len(string_split(n, chr(10))))) AS pos, unnest(string_split(n, chr(10))) AS line FROM t),
   l1 AS (SELECT *, lower(trim(trim(line, ' ' || chr(9)), ':')) AS low FROM l0),
   l2 AS (SELECT *, CASE WHEN length(low) BETWEEN 1 AND 60 AND NOT regexp_matches(line, {Q.quoted(J.BULLET)}) AND (regexp_matches(line, {Q.quoted(J.HEADING)}) OR ends_with(trim(line, ' ' || chr(9)), ':')) THEN
-    CASE {' '.join(f"WHEN regexp_matches(low, {Q.quoted(v)}) THEN '{k}'" for k, v in J.BLOCKS.items())} END END AS h FROM l1),
+    CASE {' '.join(f"WHEN regexp_matches(low, {Q.quoted('|'.join(v))}) THEN '{k}'" for k, v in J.BLOCKS.items())} END END AS h FROM l1),
   b AS (SELECT doc_id, pos, line, section, regexp_matches(line, {Q.quoted(J.BULLET)}) AS is_bullet, trim(line, ' ' || chr(9)) = '' AS is_blank FROM (
     SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'other') AS section FROM l2) WHERE h IS NULL)"""
 _YEARS = f"coalesce(list_max([y::DOUBLE FOR y IN regexp_extract_all(text, {Q.quoted(T.YEARS)}, 1)]), 0.0)"

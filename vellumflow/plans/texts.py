@@ -97,6 +97,7 @@ def skill_snippets_all(spark, sf_dir):
     return found.select("doc_id", "skill", T.snippet(F.col("text"), F.col("at"), F.col("length")).alias("snippet"))
 
 
+# What organisations, dates and degrees look like.
 _ORG = r"\b[A-Z][A-Za-z&.-]+(?:[ \t]+[A-Z][A-Za-z&.-]+){0,3}[ \t]+(?:Inc|LLC|Ltd|Technologies|Systems|Solutions|Labs|University|Institute|College|Corporation|Corp)\b"
 _DATE = r"\b(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?[ \t]+[0-9]{4}|(?:19|20)[0-9]{2}\b)"
 _DEGREE = r"(?i)\b(?:B\.? ?Tech|B\.?E\.?|B\.? ?Sc|Bachelor(?:'s)?|M\.? ?Tech|M\.? ?Sc|Master(?:'s)?|MBA|Ph\.?D|Doctorate|Diploma|B\.?C\.?A|M\.?C\.?A)\b"

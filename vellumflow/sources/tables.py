@@ -24,15 +24,17 @@ def spread(df: DataFrame, waves: int = 1) -> DataFrame:
 
 
 def _scanned_partitions(df: DataFrame) -> int:
-    """How many partitions a scan of the files behind a frame has, from their number and sizes; 0 if none are known."""
+    """How many partitions the scans of the files behind a frame have, by their sizes; 0 if there are no files."""
     conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) if df.inputFiles() else 0.0
-    files = len(df.inputFiles())
-    if not files:
-        return 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()) if "LogicalRelation" in leaves.apply(i).getClass().getName())
     most = int(sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")))
-    each = min(most, max(4 << 20, size / sc.defaultParallelism))
-    return max(int(size // each), files if size / files > each else 0)
+    if size >= most * sc.defaultParallelism:
+        return size // most
+    opening = 4 << 20  # what opening a file counts for
+    files = len(df.inputFiles()) if size else 0
+    each = min(most, max(opening, (size + files * opening) / sc.defaultParallelism))
+    return int((size + files * opening) // each) if files else 0
 
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:
