@@ -11,7 +11,7 @@ def test_snippets_of_every_mentioned_skill(spark, sf_dir):
     ontology, docs = table(spark, sf_dir, "ontology"), table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null").distinct()
     lines = docs.select("doc_id", F.lit("other").alias("section"), F.explode(F.split("text", "\n")).alias("line"), F.lit(False).alias("is_blank"))
     want = {(r.doc_id, r.skill) for r in E.mentions(lines, "doc_id", ontology).collect()}
-    got = [(r.doc_id, r.skill) for r in entry.queries()["skill_snippets_all"](spark, sf_dir).collect()]
+    got = [(r.doc_id, r.skill) for r in entry.queries()["skill_snippets"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {"SQL", "Machine Learning"} <= {s for _, s in got}
 
@@ -25,5 +25,5 @@ def test_place_of_the_first_mention(spark):
 
 def test_coverage_counts_every_name(spark, sf_dir):
     n = table(spark, sf_dir, "ontology").select("skill").distinct().count()
-    for r in entry.queries()["keyword_coverage_all"](spark, sf_dir).collect():
+    for r in entry.queries()["keyword_coverage"](spark, sf_dir).collect():
         assert abs(r.coverage * n - (r.n_present + 0.5 * r.n_partial)) < 1e-3

@@ -122,3 +122,18 @@ def test_rebuild_is_stable(spark):
     once = rebuild.render(parse.lines(df, "id", "t"), "id")
     twice = rebuild.render(parse.lines(once, "id", "text"), "id")
     assert once.first().text == twice.first().text
+
+
+def test_forms_of_any_length(spark):
+    ontology = spark.createDataFrame([("Very Long Name Of Five Words Indeed", "x", []), ("Go", "language", [])], "skill string, category string, aliases array<string>")
+    lines = spark.createDataFrame([(1, "skills", "a very long name-of five words indeed, Go", False)], "d int, section string, line string, is_blank boolean")
+    assert {r.skill for r in extract.mentions(lines, "d", ontology).collect()} == {"Very Long Name Of Five Words Indeed", "Go"}
+
+
+def test_distinct_rows_shuffles_no_text_of_single_rows(spark, tmp_path):
+    from vellumflow.sources.tables import distinct_rows
+
+    rows = [(1, "a"), (2, "b"), (2, "b"), (2, "c"), (None, "d"), (None, "d"), (3, "")]
+    spark.createDataFrame(rows, "k int, t string").write.parquet(str(tmp_path / "x"))
+    got = sorted(map(tuple, distinct_rows(spark.read.parquet(str(tmp_path / "x")), "k").collect()), key=str)
+    assert got == sorted(set(rows), key=str)

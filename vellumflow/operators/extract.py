@@ -1,7 +1,7 @@
 """Ontology terms in texts, found by an equi-join of squashed word runs with the surface forms.
 
-A regular expression a skill would read every text once a skill. Instead each line gives its runs of one to four words,
-without spaces and hyphens and in lower case, and one join finds all forms at once. Names of one or two letters, and those
+A regular expression a skill would read every text once a skill. Instead each line gives its runs of up to as many words as
+the longest form has, without spaces and hyphens and in lower case, and one join finds all forms at once. Names of one or two letters, and those
 with signs, must stand with their own capitals.
 """
 
@@ -29,6 +29,11 @@ def squashed(form: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(form), "[ -]", ""))
 
 
+def bounded(side: DataFrame, most: int = MOST_FORMS) -> DataFrame:
+    """A reference table to be broadcast, if its counted rows are at most `most`; beyond that it's joined as any other."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def surface_forms(ontology: DataFrame) -> DataFrame:
     """skill, category, form, cased: names and aliases; `form` is squashed, or the name itself where capitals matter."""
     short = (F.length("skill") <= 2) | F.col("skill").rlike(r"^[.]|[+#]$")
@@ -37,13 +42,19 @@ def surface_forms(ontology: DataFrame) -> DataFrame:
     return names.unionByName(aliases).distinct()
 
 
+def longest_form(ontology: DataFrame) -> int:
+    """Words of the longest name or alias."""
+    forms = ontology.select(F.explode(F.concat(F.array("skill"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("f"))
+    return forms.agg(F.max(F.size(F.split(F.trim(F.regexp_replace("f", "-", " ")), " +")))).first()[0] or 1
+
+
 def words_of(line: Column) -> Column:
     parts = F.regexp_extract_all(F.regexp_replace(line, "-", " "), F.lit(TOKEN), F.lit(0))
     return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, "[./]+$", "")), lambda w: w != "")
 
 
-def runs(words: str) -> Column:
-    """Structs (form, cased) of all runs of up to four words. `words` must be a column, for each run reads it again."""
+def runs(words: str, most: int) -> Column:
+    """Structs (form, cased) of all runs of up to `most` words. `words` must be a column, for each run reads it again."""
 
     def of(n: int, cased: bool) -> Column:
         def one(i):
@@ -52,15 +63,14 @@ def runs(words: str) -> Column:
 
         return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), one)).otherwise(F.array().cast("array<struct<form:string,cased:boolean>>"))
 
-    return F.concat(of(1, True), *[of(n, False) for n in (1, 2, 3, 4)])
+    return F.concat(of(1, True), *[of(n, False) for n in range(1, most + 1)])
 
 
-def mentions(doc_lines: DataFrame, key: str, ontology: DataFrame, broadcast_forms: int = 500_000) -> DataFrame:
+def mentions(doc_lines: DataFrame, key: str, ontology: DataFrame, broadcast_forms: int = MOST_FORMS) -> DataFrame:
     """key, section, skill, category, n: how often each section of each document mentions each skill."""
-    forms = surface_forms(ontology)
-    small = forms.limit(broadcast_forms + 1).count() <= broadcast_forms
+    forms = bounded(surface_forms(ontology), broadcast_forms)
     cut = doc_lines.where(~F.col("is_blank")).select(key, "section", words_of(F.col("line")).alias("ws"))
-    found = cut.select(key, "section", F.inline(runs("ws"))).join(F.broadcast(forms) if small else forms, ["form", "cased"])
+    found = cut.select(key, "section", F.inline(runs("ws", longest_form(ontology)))).join(forms, ["form", "cased"])
     return found.groupBy(key, "section", "skill", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,6 +86,7 @@ def first_mentions(df: DataFrame, key: str, column: str, ontology: DataFrame) ->
     for r in rows:
         skills.setdefault((r.form, r.cased), []).append(r.skill)
     kind = df.schema[key].dataType.simpleString()
+    most = longest_form(ontology)
 
     def found_in(text: str) -> dict[str, tuple[int, int]]:
         out: dict[str, tuple[int, int]] = {}
@@ -87,7 +98,7 @@ def first_mentions(df: DataFrame, key: str, column: str, ontology: DataFrame) ->
                     words.append((w, line.start() + m.start()))
             for i, (w, start) in enumerate(words):
                 run = ""
-                for n, (x, at) in enumerate(words[i : i + 4]):
+                for n, (x, at) in enumerate(words[i : i + most]):
                     run += x
                     length = at + len(x) - start
                     for s in skills.get((run.lower(), False), []) + (skills.get((w, True), []) if n == 0 else []):
@@ -129,4 +140,4 @@ def canonical(df: DataFrame, column: str, ontology: DataFrame, to: str) -> DataF
     names = ontology.select("skill_id", "skill", F.lower("skill").alias("form"), F.lit(0).alias("r"))
     aliases = ontology.select("skill_id", "skill", F.explode("aliases").alias("a")).select("skill_id", "skill", F.lower("a").alias("form"), F.lit(1).alias("r"))
     index = names.unionByName(aliases).groupBy("form").agg(F.min_by("skill", F.struct("r", "skill_id")).alias("__name"))
-    return df.join(F.broadcast(index), F.lower(F.trim(F.col(column))) == F.col("form"), "left").withColumn(to, F.coalesce("__name", F.col(column))).drop("form", "__name")
+    return df.join(bounded(index), F.lower(F.trim(F.col(column))) == F.col("form"), "left").withColumn(to, F.coalesce("__name", F.col(column))).drop("form", "__name")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
+from vellumflow.operators.extract import bounded
 
 # Credit of a skill that is shown at work, only named, or only related to one shown at work.
 APPLIED_CREDIT, NAMED_CREDIT, RELATED_CREDIT = 1.0, 0.8, 0.35
@@ -27,27 +28,28 @@ def resolve(requirements: DataFrame, found: DataFrame, edges: DataFrame) -> Data
     """requirements (doc_id, target_id, ord, skill) with status, credit and via.
 
     Direct evidence first; for what it leaves, the first applied skill that the requirement's entry lists as related, then
-    the surest applied skill whose entry lists the requirement. The related joins see only what the direct one left.
+    the surest applied skill whose entry lists the requirement. Every requirement asks for itself and for its related
+    skills, in that order (`step`, `edge`); one join with the evidence answers all of them, and one aggregate takes the best.
     """
-    low = requirements.withColumn("low", F.lower("skill"))
-    direct = low.join(found.select("doc_id", F.lower("skill").alias("low"), "applied", "declared_only"), ["doc_id", "low"], "left")
-    status = F.when(F.col("applied") | ~F.col("declared_only"), "matched").when(F.col("declared_only"), "partial")
-    credit = F.when(F.col("applied"), APPLIED_CREDIT).when(F.col("applied").isNotNull(), NAMED_CREDIT)
-    direct = direct.withColumn("status", status).withColumn("credit", credit)
-    keys = [*PAIR, "ord"]
-    left = direct.where("status is null").select(*keys, "skill", "low")
-    at_work = found.where("applied").select("doc_id", F.col("skill").alias("have"), "confidence", "mentions")
-    ahead = left.join(edges.select(F.lower("src").alias("low"), F.col("dst").alias("have"), F.col("ord").alias("edge")), "low").join(at_work, ["doc_id", "have"])
-    back = left.join(edges.select(F.col("dst").alias("skill"), F.col("src").alias("have")), "skill").join(at_work, ["doc_id", "have"])
-    via1 = ahead.groupBy(*keys).agg(F.min_by("have", F.struct("edge", "have")).alias("via1"))
-    via2 = back.groupBy(*keys).agg(F.min_by("have", F.struct(-F.col("confidence"), -F.col("mentions"), F.col("have"))).alias("via2"))
-    out = direct.join(via1, keys, "left").join(via2, keys, "left")
-    via = F.coalesce("via1", "via2")
-    return out.select(
-        *keys, "skill",
-        F.coalesce("status", F.when(via.isNotNull(), "partial"), F.lit("missing")).alias("status"),
-        F.coalesce("credit", F.when(via.isNotNull(), RELATED_CREDIT), F.lit(0.0)).alias("credit"),
-        F.when(F.col("status").isNull(), F.coalesce(via, F.lit(""))).otherwise("").alias("via"),
+    low = F.lower("skill")
+    keys = [*PAIR, "ord", "skill"]
+    ahead = bounded(edges.groupBy(F.lower("src").alias("low")).agg(F.collect_list(F.struct(F.lit(1).alias("step"), F.col("ord").alias("edge"), F.col("dst").alias("want"))).alias("ahead")))
+    back = bounded(edges.groupBy(F.col("dst").alias("__dst")).agg(F.collect_list(F.struct(F.lit(2).alias("step"), F.lit(0).alias("edge"), F.col("src").alias("want"))).alias("back")))
+    none = F.array().cast("array<struct<step:int,edge:int,want:string>>")
+    asked = requirements.withColumn("low", low).join(ahead, "low", "left").join(back, F.col("skill") == F.col("__dst"), "left")
+    itself = F.array(F.struct(F.lit(0).alias("step"), F.lit(0).alias("edge"), F.col("low").alias("want")))
+    asked = asked.select(*keys, F.inline(F.concat(itself, F.coalesce("ahead", none), F.coalesce("back", none))))
+    have = found.select("doc_id", F.lit(True).alias("direct"), F.lower("skill").alias("want"), F.col("skill").alias("have"), "applied", "declared_only", "confidence", "mentions")
+    work = found.where("applied").select("doc_id", F.lit(False).alias("direct"), F.col("skill").alias("want"), F.col("skill").alias("have"), "applied", "declared_only", "confidence", "mentions")
+    hits = asked.withColumn("direct", F.col("step") == 0).join(have.unionByName(work), ["doc_id", "direct", "want"], "left").where("have is not null or step = 0")
+    order = F.struct(F.col("have").isNull(), "step", "edge", F.when(F.col("step") == 2, -F.col("confidence")).otherwise(0.0), F.when(F.col("step") == 2, -F.col("mentions")).otherwise(0), "have")
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct("have", "step", "applied", "declared_only"), order).alias("x"))
+    has, direct = F.col("x.have").isNotNull(), F.col("x.step") == 0
+    return best.select(
+        *keys,
+        F.when(~has, "missing").when(~direct, "partial").when(F.col("x.applied") | ~F.col("x.declared_only"), "matched").otherwise("partial").alias("status"),
+        F.when(~has, 0.0).when(~direct, RELATED_CREDIT).when(F.col("x.applied"), APPLIED_CREDIT).otherwise(NAMED_CREDIT).alias("credit"),
+        F.when(has & ~direct, F.col("x.have")).otherwise("").alias("via"),
     )
 
 
@@ -78,7 +80,7 @@ def gap_buckets(matches: DataFrame) -> DataFrame:
 
 def learn_plan(matches: DataFrame, ontology: DataFrame, rows: int = 12) -> DataFrame:
     """What to learn first: gaps by priority, importance and weeks, with the running sum of weeks."""
-    gaps = matches.where("status in ('missing', 'partial') and skill is not null").join(F.broadcast(ontology.select("skill", "learn_weeks")), "skill", "left")
+    gaps = matches.where("status in ('missing', 'partial') and skill is not null").join(bounded(ontology.select("skill", "learn_weeks")), "skill", "left")
     weeks = F.when(F.col("status") == "partial", 1).otherwise(F.coalesce("learn_weeks", F.lit(4)))
     w = W.partitionBy(*PAIR).orderBy(F.desc("p"), F.desc("importance"), "weeks", "ord")
     g = gaps.withColumn("weeks", weeks).withColumn("p", rank_of("priority", PRIORITIES)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows)
@@ -92,7 +94,7 @@ def phase_weeks(weeks: str = "weeks") -> Column:
 
 def roadmap(matches: DataFrame, ontology: DataFrame) -> DataFrame:
     """Up to four phases of each pair, numbered in order: surface named skills, close high gaps, close the rest, emerging ones."""
-    g = matches.where("skill is not null").join(F.broadcast(ontology.select("skill", "learn_weeks", "emerging")), "skill", "left")
+    g = matches.where("skill is not null").join(bounded(ontology.select("skill", "learn_weeks", "emerging")), "skill", "left")
     g = g.withColumn("phase", F.when(F.col("status") == "partial", 1).when((F.col("status") == "missing") & (F.col("priority") == "high"), 2).when((F.col("status") == "missing") & F.coalesce("emerging", F.lit(False)), 4).when(F.col("status") == "missing", 3)).where("phase is not null")
     most = F.when(F.col("phase") == 1, 6).when(F.col("phase") == 2, 4).when(F.col("phase") == 3, 5).otherwise(3)
     g = g.withColumn("r", F.row_number().over(W.partitionBy(*PAIR, "phase").orderBy(F.desc("importance"), "ord"))).where(F.col("r") <= most)
@@ -119,7 +121,7 @@ def rank_projects(matches: DataFrame, projects: DataFrame, top: int = 6) -> Data
     gap = matches.where("status <> 'matched'").withColumn("weight", F.col("importance") * F.when(F.col("status") == "missing", 1.0).otherwise(0.4))
     total = gap.groupBy(*PAIR).agg(F.sum("weight").alias("total"))
     taught = projects.select("project_id", "p_ord", "difficulty", "roles", F.explode("teaches").alias("skill"))
-    hit = gap.join(F.broadcast(taught), "skill").groupBy(*PAIR, "project_id", "p_ord", "difficulty", "roles").agg(F.sum("weight").alias("closed"), F.count(F.lit(1)).alias("n_closed"), F.max((F.col("priority") == "high") & (F.col("status") == "missing")).alias("high"))
+    hit = gap.join(bounded(taught), "skill").groupBy(*PAIR, "project_id", "p_ord", "difficulty", "roles").agg(F.sum("weight").alias("closed"), F.count(F.lit(1)).alias("n_closed"), F.max((F.col("priority") == "high") & (F.col("status") == "missing")).alias("high"))
     h = hit.join(total, [*PAIR]).withColumn("coverage", F.col("closed") / F.col("total"))
     role, level = F.get(F.split("target_id", ":"), F.lit(1)), F.get(F.split("target_id", ":"), F.lit(2))
     fits = F.when(F.array_contains("roles", role), 1.0).otherwise(0.35)

@@ -8,7 +8,10 @@ a shared term are never formed; their similarity is 0.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +44,29 @@ def pair_features(left: DataFrame, right: DataFrame, a: str, b: str, broadcast_r
     k = F.lit(ONE_SIDED)
     na, nb = k * F.col("sq") - (k - 1) * F.col("sa"), k * F.col("sq_b") - (k - 1) * F.col("sb")
     return agg.select(a, b, (F.col("dot") / F.sqrt(na * nb)).alias("cosine"), (F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared"))).alias("jaccard"), "n_shared")
+
+
+def phrases_held(df: DataFrame, key: str, column: str, names: DataFrame, name: str, most: int = 500_000) -> DataFrame:
+    """key, column, held: the names each text holds anywhere, whatever the case, by one automaton of all names; narrow.
+
+    The names travel with the tasks, so a list of more than `most` is refused.
+    """
+    rows = [r[0] for r in names.select(name).where(F.length(name) > 0).distinct().limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} names")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same: dict[str, list[str]] = {}
+        for n in rows:
+            same.setdefault(n.lower(), []).append(n)
+        automaton = ahocorasick.Automaton()
+        for low, ns in same.items():
+            automaton.add_word(low, ns)
+        if same:
+            automaton.make_automaton()
+        for b in batches:
+            held = [sorted({n for _, ns in automaton.iter(t.lower()) for n in ns}) if t and same else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.string()))], names=[key, column, "held"])
+
+    return df.select(key, column).mapInArrow(run, f"`{key}` {kind}, `{column}` string, held array<string>")

@@ -53,7 +53,7 @@ def skill_profile(spark, sf_dir):
 def related_skills(spark, sf_dir):
     """EXT-7: the skills related to those found, per résumé."""
     e = E.edges(_ontology(spark, sf_dir))
-    r = _evidence(spark, sf_dir).select("doc_id", F.col("skill").alias("src")).join(F.broadcast(e), "src")
+    r = _evidence(spark, sf_dir).select("doc_id", F.col("skill").alias("src")).join(E.bounded(e), "src")
     return r.groupBy("doc_id").agg(F.count_distinct("dst").alias("n_related"), F.array_join(F.array_sort(F.collect_set("dst")), "|").alias("related"))
 
 
@@ -124,7 +124,7 @@ def ref_integrity(spark, sf_dir):
     o = _ontology(spark, sf_dir)
     e = E.edges(o).select(F.lit("related").alias("origin"), F.col("dst").alias("skill"))
     both = e.unionByName(_matches(spark, sf_dir).where("skill <> ''").select(F.lit("match").alias("origin"), "skill"))
-    lost = both.join(F.broadcast(o.select("skill")), "skill", "left_anti")
+    lost = both.join(E.bounded(o.select("skill")), "skill", "left_anti")
     return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n_all")).join(lost.groupBy("origin").agg(F.count(F.lit(1)).alias("n_lost"), F.count_distinct("skill").alias("n_names")), "origin", "left").na.fill(0)
 
 
@@ -132,11 +132,12 @@ _M = "m AS (SELECT DISTINCT doc_id, target_id, ord, skill, category, importance,
 _TOKENS = f"[w FOR w IN [regexp_replace(t, '[./]+$', '') FOR t IN regexp_extract_all(replace(line, '-', ' '), {Q.quoted(E.TOKEN)})] IF w <> '']"
 _SQ = "lower(regexp_replace(trim({x}, ' '), '[ -]', '', 'g'))"
 _WEIGHTS = " ".join(f"WHEN '{s}' THEN {w}" for s, w in E.SECTION_WEIGHT.items())
+_LENGTHS = "(SELECT unnest(range(1, 1 + (SELECT max(len(regexp_split_to_array(trim(replace(f, '-', ' '), ' '), ' +'))) FROM (SELECT skill AS f FROM ontology UNION ALL SELECT unnest(aliases) FROM ontology) fs))) AS n)"
 _EV = f"""
   {parsing._SQL_LINES},
   w AS (SELECT resume_id, pos, section, {_TOKENS} AS ws FROM l WHERE NOT is_blank),
   r AS (SELECT resume_id, section, unnest(ws) AS form, true AS cased FROM w UNION ALL
-        SELECT resume_id, section, lower(array_to_string(ws[i:i + n - 1], '')) AS form, false FROM (SELECT resume_id, section, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS n) k)),
+        SELECT resume_id, section, lower(array_to_string(ws[i:i + n - 1], '')) AS form, false FROM (SELECT resume_id, section, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, {_LENGTHS} k)),
   sf AS (SELECT DISTINCT * FROM (
     SELECT skill, category, CASE WHEN length(skill) <= 2 OR regexp_matches(skill, '^[.]|[+#]$') THEN skill ELSE {_SQ.format(x='skill')} END AS form, length(skill) <= 2 OR regexp_matches(skill, '^[.]|[+#]$') AS cased FROM ontology
     UNION ALL SELECT skill, category, {_SQ.format(x='a')}, false FROM (SELECT skill, category, unnest(aliases) AS a FROM ontology))),

@@ -101,7 +101,7 @@ _COMPOSED = f"""
   co AS (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY t DESC, importance DESC, lower(skill)) AS ord, skill, importance, CASE t WHEN 3 THEN 'required' WHEN 2 THEN 'preferred' ELSE 'optional' END AS tier, source,
     CASE WHEN importance >= 0.85 THEN 'high' WHEN importance >= 0.65 THEN 'medium' ELSE 'low' END AS priority FROM l4)
 """
-from vellumflow.plans.matching import _SQ, _TOKENS  # noqa: E402
+from vellumflow.plans.matching import _LENGTHS, _SQ, _TOKENS  # noqa: E402
 
 _P = "p AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _SF = f"""sf AS (SELECT DISTINCT * FROM (
@@ -114,7 +114,7 @@ def _mentions(source: str) -> str:
     return f"""
   w AS (SELECT doc_id, section, {_TOKENS} AS ws FROM {source}),
   r AS (SELECT doc_id, section, unnest(ws) AS form, true AS cased FROM w UNION ALL
-        SELECT doc_id, section, lower(array_to_string(ws[i:i + n - 1], '')) AS form, false FROM (SELECT doc_id, section, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS n) k)),
+        SELECT doc_id, section, lower(array_to_string(ws[i:i + n - 1], '')) AS form, false FROM (SELECT doc_id, section, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, {_LENGTHS} k)),
   {_SF}, mn AS (SELECT doc_id, section, skill, category, count(*) AS n FROM r JOIN sf USING (form, cased) GROUP BY ALL)"""
 
 

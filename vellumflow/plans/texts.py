@@ -85,13 +85,6 @@ def opener_stats(spark, sf_dir):
 
 
 def skill_snippets(spark, sf_dir):
-    """TXT-14 for the languages of four letters or more: the context of each one's first place in a document; skill_snippets_all has all skills."""
-    langs = table(spark, sf_dir, "ontology").where("category = 'language' and length(skill) > 3").select("skill")
-    d = _docs(spark, sf_dir).crossJoin(F.broadcast(langs)).withColumn("at", F.expr("locate(skill, text)")).where("at > 0")
-    return d.select("doc_id", "skill", T.snippet(F.col("text"), F.col("at"), F.length("skill")).alias("snippet"))
-
-
-def skill_snippets_all(spark, sf_dir):
     """TXT-14: the context of each listed skill's first mention, by name or alias, in a document."""
     found = extract.first_mentions(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "ontology"))
     return found.select("doc_id", "skill", T.snippet(F.col("text"), F.col("at"), F.col("length")).alias("snippet"))
@@ -136,34 +129,20 @@ def top_items_per_doc(spark, sf_dir):
 
 
 def keyword_coverage(spark, sf_dir):
-    """AGG-2, 3 for the names of category ml: which each document holds, as a phrase or by half of its lemmas; keyword_coverage_all has all names."""
-    names = table(spark, sf_dir, "ontology").where("category = 'ml'").select("skill", F.array_distinct(T.content_lemmas(F.col("skill"))).alias("kl")).where("size(kl) > 0")
-    d = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), T.content_lemmas(F.col("text")).alias("dl"))
-    x = d.crossJoin(F.broadcast(names))
-    share = F.size(F.array_intersect("kl", "dl")) / F.size("kl")
-    state = F.when(F.expr("contains(low, lower(skill))") | (share == 1), 1.0).when(share >= 0.5, 0.5).otherwise(0.0)
-    s = x.select("doc_id", state.alias("s"))
-    return s.groupBy("doc_id").agg(F.count_if(F.col("s") == 1).alias("n_present"), F.count_if(F.col("s") == 0.5).alias("n_partial"), F.round(F.sum("s") / F.count(F.lit(1)), 6).alias("coverage"))
-
-
-def keyword_coverage_all(spark, sf_dir):
     """AGG-2, 3: which of all the ontology's names each document holds, as a phrase or by half of its lemmas.
 
-    As in the survey a phrase is any part of the lower-case text, so names of one letter are in nearly all of them; names
-    without content lemmas can be held as a phrase only. Phrases are sought where the text is, lemmas by an equi-join.
+    A phrase is any part of the lower-case text, so names of one letter are in nearly all of them; names without content
+    lemmas can be held as a phrase only. Phrases are found by one automaton of all names where the text is, lemmas by an equi-join.
     """
     names = table(spark, sf_dir, "ontology").select("skill").distinct()
     lemmas = names.select("skill", F.array_distinct(T.content_lemmas(F.col("skill"))).alias("kl")).select("skill", F.size("kl").alias("of"), F.explode("kl").alias("lemma"))
-    every = names.agg(F.collect_list(F.struct("skill", F.lower("skill").alias("phrase"))).alias("names"))
-    d = _docs(spark, sf_dir).crossJoin(F.broadcast(every))  # one row
-    # an array of one keeps the lower-case text from being made again for every name
-    held = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.transform(F.filter("names", lambda n: F.contains(low, n["phrase"])), lambda n: n["skill"])))
-    d = d.select("doc_id", held.alias("held"), F.array_distinct(T.content_lemmas(F.col("text"))).alias("dl"), F.size("names").alias("n_names"))
-    whole = d.select("doc_id", F.explode("held").alias("skill"), F.lit(1.0).alias("share"))
-    hits = d.select("doc_id", F.explode("dl").alias("lemma")).distinct().join(F.broadcast(lemmas), "lemma").groupBy("doc_id", "skill").agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
-    s = whole.unionByName(hits).groupBy("doc_id", "skill").agg(F.max("share").alias("share")).groupBy("doc_id").agg(F.count_if(F.col("share") >= 1).alias("p"), F.count_if((F.col("share") >= 0.5) & (F.col("share") < 1)).alias("q"))
-    x = d.select("doc_id", "n_names").distinct().join(s, "doc_id", "left").na.fill(0, ["p", "q"])
-    return x.select("doc_id", F.col("p").alias("n_present"), F.col("q").alias("n_partial"), F.round((F.col("p") + 0.5 * F.col("q")) / F.col("n_names"), 6).alias("coverage"))
+    n_names = names.count()
+    d = similarity.phrases_held(_docs(spark, sf_dir), "doc_id", "text", names, "skill").select("doc_id", "held", F.array_distinct(T.content_lemmas(F.col("text"))).alias("dl"))
+    whole = d.select("doc_id", F.explode_outer("held").alias("skill"), F.lit(1.0).alias("share"))
+    hits = d.select("doc_id", F.explode("dl").alias("lemma")).distinct().join(extract.bounded(lemmas), "lemma").groupBy("doc_id", "skill").agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
+    s = whole.unionByName(hits).groupBy("doc_id", "skill").agg(F.max("share").alias("share")).withColumn("share", F.when(F.col("skill").isNotNull(), F.col("share")).otherwise(0.0))
+    x = s.groupBy("doc_id").agg(F.count_if(F.col("share") >= 1).alias("n_present"), F.count_if((F.col("share") >= 0.5) & (F.col("share") < 1)).alias("n_partial"))
+    return x.select("doc_id", "n_present", "n_partial", F.round((F.col("n_present") + 0.5 * F.col("n_partial")) / n_names, 6).alias("coverage"))
 
 
 _TOK = Q.content_tokens(_DOCS, "doc_id", "text")
@@ -177,7 +156,7 @@ _PAIRS = f"""
         FROM p JOIN dn USING (doc_id) JOIN inn USING (item_id), (SELECT power(1 + ln(1.5), 2) AS k) c)
 """
 
-QUERIES = {f.__name__: f for f in (normalised_text, token_stats, lemma_counts, phrase_counts, keyword_topk, sentence_stats, metric_mentions, opener_stats, skill_snippets, entities, pair_similarity, top_items_per_doc, keyword_coverage, skill_snippets_all, keyword_coverage_all)}
+QUERIES = {f.__name__: f for f in (normalised_text, token_stats, lemma_counts, phrase_counts, keyword_topk, sentence_stats, metric_mentions, opener_stats, skill_snippets, entities, pair_similarity, top_items_per_doc, keyword_coverage)}
 SQL = {
     "normalised_text": f"SELECT resume_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT resume_id, {Q.normalised('raw_text')} AS n FROM (SELECT DISTINCT resume_id, raw_text FROM resumes WHERE raw_text IS NOT NULL))",
     "token_stats": f"WITH c AS ({_TOK}), n AS (SELECT doc_id, len({Q.tokens('text')}) AS n_tokens FROM {_DOCS}) SELECT n.doc_id, n_tokens, count(c.pos) AS n_content FROM n LEFT JOIN c USING (doc_id) GROUP BY ALL",
@@ -194,9 +173,6 @@ SQL = {
       SELECT doc_id, regexp_extract_all(text, {_METRIC_SQL}) AS m, regexp_extract_all(text, {Q.quoted(T.YEARS)}, 1) AS ys FROM {_DOCS})""",
     "opener_stats": f"""SELECT doc_id, count(*) AS n_bullets, count(*) FILTER (w IN {Q.listed(T.STRONG_VERBS)}) AS n_strong, count(*) FILTER (w IN {Q.listed(T.WEAK_OPENERS)}) AS n_weak, count(*) FILTER (m) AS n_measured FROM (
       SELECT doc_id, lower(regexp_extract(b, '[A-Za-z]+')) AS w, regexp_matches(b, {_METRIC_SQL}) AS m FROM (SELECT doc_id, unnest(bullets) AS b FROM (SELECT DISTINCT doc_id, bullets FROM parsed_resume))) GROUP BY ALL""",
-    "skill_snippets": f"""SELECT doc_id, skill, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(translate(substring(text, s, e - s), chr(10) || chr(13), '  '), ' ') || CASE WHEN e <= length(text) THEN '…' ELSE '' END AS snippet FROM (
-      SELECT *, greatest(p - 90, 1) AS s, least(p + length(skill) + 90, length(text) + 1) AS e FROM (
-        SELECT doc_id, text, skill, instr(text, skill) AS p FROM {_DOCS} d, (SELECT skill FROM ontology WHERE category = 'language' AND length(skill) > 3) o) WHERE p > 0)""",
     "entities": "SELECT resume_id, label, count(*) AS n_entities, min(entity) AS least FROM (SELECT DISTINCT resume_id, label, lower(unnest(es)) AS entity FROM ("
     + " UNION ALL ".join(f"SELECT resume_id, '{n}' AS label, regexp_extract_all(raw_text, {Q.quoted(p)}) AS es FROM (SELECT DISTINCT resume_id, raw_text FROM resumes WHERE raw_text IS NOT NULL)" for n, p in _ENTITIES)
     + ")) GROUP BY ALL",
@@ -205,12 +181,7 @@ SQL = {
     + """, s AS (SELECT doc_id, item_id, round(greatest(0, least(100, 100 * least(1, (0.85 * cosine + 0.15 * jaccard) / 0.35))), 4) AS score FROM f)
       SELECT doc_id, rank, item_id, score, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'strong' WHEN score >= 55 THEN 'moderate' WHEN score >= 40 THEN 'developing' ELSE 'early' END AS band
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 3""",
-    "keyword_coverage": f"""WITH c AS ({_TOK}), d AS (SELECT DISTINCT doc_id, lemma FROM c), k AS ({Q.content_tokens("(SELECT skill, skill AS t FROM ontology WHERE category = 'ml')", "skill", "t")}),
-      kl AS (SELECT DISTINCT skill, lemma FROM k), kn AS (SELECT skill, count(*) AS n FROM kl GROUP BY ALL), h AS (SELECT d.doc_id, kl.skill, count(*) AS hits FROM d JOIN kl USING (lemma) GROUP BY ALL)
-      SELECT doc_id, count(*) FILTER (s = 1) AS n_present, count(*) FILTER (s = 0.5) AS n_partial, round(sum(s) / count(*), 6) AS coverage FROM (
-        SELECT t.doc_id, CASE WHEN contains(lower(t.text), lower(kn.skill)) OR coalesce(hits, 0) = n THEN 1.0 WHEN coalesce(hits, 0) / n >= 0.5 THEN 0.5 ELSE 0.0 END::DOUBLE AS s
-        FROM {_DOCS} t CROSS JOIN kn LEFT JOIN h ON h.doc_id = t.doc_id AND h.skill = kn.skill) GROUP BY doc_id""",
-    "keyword_coverage_all": f"""WITH c AS ({_TOK}), d AS (SELECT DISTINCT doc_id, lemma FROM c), k AS ({Q.content_tokens("(SELECT skill, skill AS t FROM ontology)", "skill", "t")}),
+    "keyword_coverage": f"""WITH c AS ({_TOK}), d AS (SELECT DISTINCT doc_id, lemma FROM c), k AS ({Q.content_tokens("(SELECT skill, skill AS t FROM ontology)", "skill", "t")}),
       kl AS (SELECT DISTINCT skill, lemma FROM k), kn AS (SELECT o.skill, count(lemma) AS n FROM (SELECT DISTINCT skill FROM ontology) o LEFT JOIN kl USING (skill) GROUP BY ALL),
       h AS (SELECT d.doc_id, kl.skill, count(*) AS hits FROM d JOIN kl USING (lemma) GROUP BY ALL)
       SELECT doc_id, count(*) FILTER (s = 1) AS n_present, count(*) FILTER (s = 0.5) AS n_partial, round(sum(s) / count(*), 6) AS coverage FROM (

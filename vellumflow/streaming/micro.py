@@ -17,7 +17,7 @@ def skill_stream(spark: SparkSession, path: str, schema: str, key: str, column:
     forms = E.surface_forms(ontology)
     texts = spark.readStream.schema(schema).parquet(path).where(F.col(column).isNotNull())
     words = texts.select(key, E.words_of(F.col(column)).alias("ws"))
-    found = words.select(key, F.inline(E.runs("ws"))).join(F.broadcast(forms), ["form", "cased"]).select(key, "skill", "category")
+    found = words.select(key, F.inline(E.runs("ws", E.longest_form(ontology)))).join(E.bounded(forms), ["form", "cased"]).select(key, "skill", "category")
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
