@@ -78,14 +78,3 @@ def section_scores(entries: DataFrame) -> DataFrame:
     edu = 30.0 + ratio_points(per("degree"), 20.0) + ratio_points(per("grad_year"), 15.0) + ratio_points(per("field_of_study"), 20.0)
     score = F.round(F.when(F.col("section") == "experience", exp / 0.9).when(F.col("section") == "projects", pro / 0.9).otherwise(edu / 0.85), 4)
     return g.withColumn("score", score).select("doc_id", "section", "score", F.when(F.col("score") >= 80, "strong").when(F.col("score") >= 55, "adequate").otherwise("weak").alias("verdict"))
-
-
-def weighted_overall(components: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, overall, band, strongest, weakest from long component rows (component, score, weight)."""
-    g = components.groupBy(*keys).agg(
-        (F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("o"),
-        F.max_by("component", F.struct("score", "component")).alias("strongest"),
-        F.min_by("component", F.struct((F.col("score") + (1 - F.col("weight")) * 40), "component")).alias("weakest"),
-    )
-    o = F.round(T.clamp(F.col("o")) + 1e-9, 4)  # a tie in the last place rounds up whatever the order of the sum
-    return g.select(*keys, o.alias("overall"), band(o, ((85, "excellent"), (70, "strong"), (55, "moderate"), (40, "developing")), "early").alias("band"), "strongest", "weakest")

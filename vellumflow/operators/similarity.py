@@ -16,36 +16,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
+from vellumflow.operators.extract import bounded
 
 ONE_SIDED = (1 + math.log(1.5)) ** 2
 
 
-def term_weights(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, term, tf, sq (sum of the text's tf squares), n_terms: the content lemmas of each text."""
-    terms = df.where(F.col(column).isNotNull()).select(key, F.explode(T.content_lemmas(F.col(column))).alias("term"))
+def term_weights(df: DataFrame, key: str, column: str, bigrams: bool = False) -> DataFrame:
+    """key, term, tf, sq (sum of the text's tf squares), n_terms (its distinct lemmas): the content lemmas of each text, with `bigrams` also each two in a row."""
+    lemmas = df.where(F.col(column).isNotNull()).select(key, T.content_lemmas(F.col(column)).alias("l"))
+    terms = lemmas.select(key, F.explode(F.concat("l", T.phrases(F.col("l"), 2)) if bigrams else F.col("l")).alias("term"))
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = counts.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"), F.count(F.lit(1)).alias("n_terms"))
+    totals = counts.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"), F.count_if(~F.contains("term", F.lit(" "))).alias("n_terms"))
     return counts.join(totals, key)
 
 
-def pair_features(left: DataFrame, right: DataFrame, a: str, b: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """a, b, cosine, jaccard, n_shared of every pair with a shared term; left and right come from `term_weights`.
-
-    The right side is broadcast only while its counted rows stay below `broadcast_rows`; beyond, both are shuffled by term.
-    """
-    r = right.select(b, "term", F.col("tf").alias("tf_b"), F.col("sq").alias("sq_b"), F.col("n_terms").alias("n_b"))
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        r = F.broadcast(r)
-    both = left.join(r, "term")
+def _features(both: DataFrame, a: str, b: str) -> DataFrame:
     agg = both.groupBy(a, b).agg(
         F.sum(F.col("tf") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"),
-        F.count(F.lit(1)).alias("n_shared"), F.first("sq").alias("sq"), F.first("sq_b").alias("sq_b"), F.first("n_terms").alias("n_a"), F.first("n_b").alias("n_b"),
+        F.count_if(~F.contains("term", F.lit(" "))).alias("n_shared"), F.first("sq").alias("sq"), F.first("sq_b").alias("sq_b"), F.first("n_terms").alias("n_a"), F.first("n_b").alias("n_b"),
     )
     k = F.lit(ONE_SIDED)
     na, nb = k * F.col("sq") - (k - 1) * F.col("sa"), k * F.col("sq_b") - (k - 1) * F.col("sb")
     return agg.select(a, b, (F.col("dot") / F.sqrt(na * nb)).alias("cosine"), (F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared"))).alias("jaccard"), "n_shared")
 
 
+def _right(right: DataFrame, b: str, broadcast_rows: int) -> DataFrame:
+    r = right.select(b, "term", F.col("tf").alias("tf_b"), F.col("sq").alias("sq_b"), F.col("n_terms").alias("n_b"))
+    return F.broadcast(r) if right.limit(broadcast_rows + 1).count() <= broadcast_rows else r
+
+
+def pair_features(left: DataFrame, right: DataFrame, a: str, b: str, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """a, b, cosine, jaccard, n_shared of every pair with a shared term; left and right come from `term_weights`.
+
+    The result is the listing of all such pairs, for a right side that is a reference set. It is broadcast only while its
+    counted rows stay below `broadcast_rows`; beyond, both are shuffled by term. For the nearest alone see `nearest`.
+    """
+    return _features(left.join(_right(right, b, broadcast_rows), "term"), a, b)
+
+
+def given_features(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The same for given pairs (a, b): each brings the terms of its b to its a; pairs without a shared term are missing."""
+    return _features(pairs.select(a, b).join(_right(right, b, broadcast_rows), b).join(left, [a, "term"]), a, b)
+
+
+def held_shares(df: DataFrame, key: str, column: str, names: DataFrame, name: str) -> DataFrame:
+    """key, name, share: of the names that each text holds, 1 as a phrase (any part of the text) or the share of their lemmas; names with none are missing, but each text has a row (name null)."""
+    lemmas = names.select(name, F.array_distinct(T.content_lemmas(F.col(name))).alias("kl")).select(name, F.size("kl").alias("of"), F.explode("kl").alias("lemma"))
+    d = phrases_held(df, key, column, names, name).select(key, "held", F.array_distinct(T.content_lemmas(F.col(column))).alias("dl"))
+    whole = d.select(key, F.explode_outer("held").alias(name), F.lit(1.0).alias("share"))
+    hits = d.select(key, F.explode("dl").alias("lemma")).distinct().join(bounded(lemmas), "lemma").groupBy(key, name).agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
+    s = whole.unionByName(hits).groupBy(key, name).agg(F.max("share").alias("share"))
+    return s.withColumn("share", F.when(F.col(name).isNotNull(), F.col("share")).otherwise(0.0))
+
+
 def phrases_held(df: DataFrame, key: str, column: str, names: DataFrame, name: str, most: int = 500_000) -> DataFrame:
     """key, column, held: the names each text holds anywhere, whatever the case, by one automaton of all names; narrow.
 

@@ -67,29 +67,6 @@ def section_scores(spark, sf_dir):
     return U.section_scores(e)
 
 
-def weighted_overall(spark, sf_dir):
-    """AGG-10..13, CPL-3 in part: overall of three of the six components of each pair, its band, the strongest and the weakest."""
-    m = matching._matches(spark, sf_dir)
-    parts = [
-        M.skills_component(m).select("doc_id", "target_id", F.lit("skills").alias("component"), "score", F.lit(0.5).alias("weight")),
-        M.required_coverage(m).select("doc_id", "target_id", F.lit("required").alias("component"), (100 * F.col("coverage")).alias("score"), F.lit(0.3).alias("weight")),
-        M.radar(m).groupBy("doc_id", "target_id").agg(F.avg("score").alias("score")).select("doc_id", "target_id", F.lit("breadth").alias("component"), "score", F.lit(0.2).alias("weight")),
-    ]
-    return U.weighted_overall(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["doc_id", "target_id"])
-
-
-def fit_checks(spark, sf_dir):
-    """FIT-1, 2, 5..7: coverage, blocking gaps and verdict of each pair."""
-    m = matching._matches(spark, sf_dir)
-    g = M.gap_buckets(m).select("doc_id", "target_id", "missing_high")
-    x = M.required_coverage(m).join(M.skills_component(m).select("doc_id", "target_id", "score"), ["doc_id", "target_id"]).join(g, ["doc_id", "target_id"])
-    c, s = F.col("coverage"), F.col("score")
-    verdict = F.when(c < 0.4, "none").when((c >= 0.8) & (s >= 70), "strong").when((c >= 0.65) & (s >= 55), "good").otherwise("partial")
-    near = F.array_min(F.array(F.abs(c - 0.4), F.abs(c - 0.65), F.abs(c - 0.8)))
-    conf = F.when(c < 0.4, 88.0).otherwise(F.least(F.lit(97.0), 50 + 37 * F.least(F.lit(1.0), near / 0.2) + 10 * F.least(F.lit(1.0), F.col("n_required") / 8)))
-    return x.select("doc_id", "target_id", verdict.alias("verdict"), F.when(F.col("missing_high") == 0, "pass").when(F.col("missing_high") >= 3, "fail").otherwise("warn").alias("blocking"), F.round(conf, 4).alias("confidence"))
-
-
 def bullet_weakness(spark, sf_dir):
     """RW-3, TXT-11: the six weakest bullets of each résumé."""
     b = _bullets(spark, sf_dir).withColumn("weakness", X.weakness(F.col("bullet")))
@@ -214,7 +191,7 @@ _INT = " ".join(f"WHEN regexp_matches(low, {Q.quoted('|'.join(w))}) THEN '{n}'"
 
 QUERIES = {
     f.__name__: f
-    for f in (stuffing_terms, quality_checks, quality_scores, section_scores, weighted_overall, fit_checks, bullet_weakness, bullet_rewrites, number_screen, blank_strip, line_kinds, skill_groups, safe_names, intent_route, score_answers, missing_bars)
+    for f in (stuffing_terms, quality_checks, quality_scores, section_scores, bullet_weakness, bullet_rewrites, number_screen, blank_strip, line_kinds, skill_groups, safe_names, intent_route, score_answers, missing_bars)
 }
 SQL = {
     "stuffing_terms": f"WITH {_STUFF} SELECT * FROM st",
@@ -228,16 +205,6 @@ SQL = {
       z AS (SELECT doc_id, section, round((CASE section WHEN 'experience' THEN (20 + {_ratio('a / n', 15)} + {_ratio('nb / n / 3', 15)} + {_ratio('rv', 20)} + {_ratio('2 * rm', 20)}) / 0.9
         WHEN 'projects' THEN (25 + {_ratio('n / 2', 10)} + {_ratio('nb / n / 3', 15)} + {_ratio('t / n', 20)} + {_ratio('2 * rm', 20)}) / 0.9 ELSE (30 + {_ratio('g / n', 20)} + {_ratio('y / n', 15)} + {_ratio('f / n', 20)}) / 0.85 END)::DOUBLE, 4) AS score FROM q)
       SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 55 THEN 'adequate' ELSE 'weak' END AS verdict FROM z""",
-    "weighted_overall": f"""WITH sk AS ({matching.SQL['skills_component']}), rc AS ({matching.SQL['required_coverage']}), ra AS ({matching.SQL['radar_by_category']}),
-      c AS (SELECT doc_id, target_id, 'skills' AS component, score, 0.5::DOUBLE AS weight FROM sk UNION ALL SELECT doc_id, target_id, 'required', 100 * coverage, 0.3 FROM rc UNION ALL SELECT doc_id, target_id, 'breadth', avg(score), 0.2 FROM ra GROUP BY doc_id, target_id),
-      g AS (SELECT doc_id, target_id, round(greatest(0, least(100, sum(score * weight) / sum(weight))) + 1e-9, 4) AS overall FROM c GROUP BY ALL),
-      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY score DESC, component DESC) AS hi, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY score + (1 - weight) * 40, component) AS lo FROM c)
-      SELECT g.doc_id, g.target_id, overall, CASE WHEN overall >= 85 THEN 'excellent' WHEN overall >= 70 THEN 'strong' WHEN overall >= 55 THEN 'moderate' WHEN overall >= 40 THEN 'developing' ELSE 'early' END AS band, h.component AS strongest, w.component AS weakest
-      FROM g JOIN r h ON h.doc_id = g.doc_id AND h.target_id = g.target_id AND h.hi = 1 JOIN r w ON w.doc_id = g.doc_id AND w.target_id = g.target_id AND w.lo = 1""",
-    "fit_checks": f"""WITH sk AS ({matching.SQL['skills_component']}), rc AS ({matching.SQL['required_coverage']}), gb AS ({matching.SQL['gap_buckets']}),
-      x AS (SELECT *, least(abs(coverage - 0.4), abs(coverage - 0.65), abs(coverage - 0.8)) AS near FROM rc JOIN sk USING (doc_id, target_id) JOIN gb USING (doc_id, target_id))
-      SELECT doc_id, target_id, CASE WHEN coverage < 0.4 THEN 'none' WHEN coverage >= 0.8 AND score >= 70 THEN 'strong' WHEN coverage >= 0.65 AND score >= 55 THEN 'good' ELSE 'partial' END AS verdict,
-        CASE WHEN missing_high = 0 THEN 'pass' WHEN missing_high >= 3 THEN 'fail' ELSE 'warn' END AS blocking, round(CASE WHEN coverage < 0.4 THEN 88.0 ELSE least(97, 50 + 37 * least(1, near / 0.2) + 10 * least(1, n_required / 8)) END, 4)::DOUBLE AS confidence FROM x""",
     "bullet_weakness": f"""WITH {_B}, s AS (SELECT doc_id, pos, (CASE WHEN {_FIRST.format(x='bullet')} IN {Q.listed(T.WEAK_OPENERS)} THEN 3 WHEN {_FIRST.format(x='bullet')} NOT IN {Q.listed(T.STRONG_VERBS)} THEN 1.5 ELSE 0 END + CASE WHEN {_METRIC.format(x='bullet')} THEN 0 ELSE 2.5 END
       + CASE WHEN {_WC.format(x='bullet')} > 34 THEN 1 ELSE 0 END + CASE WHEN {_WC.format(x='bullet')} < 8 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(bullet, {Q.quoted(X.ANY_FILLER)}) THEN 1 ELSE 0 END)::DOUBLE AS weakness FROM b WHERE bullet IS NOT NULL)
       SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weakness DESC, pos) AS rank, pos, weakness FROM s) WHERE rank <= 6""",

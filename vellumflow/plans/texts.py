@@ -135,12 +135,8 @@ def keyword_coverage(spark, sf_dir):
     lemmas can be held as a phrase only. Phrases are found by one automaton of all names where the text is, lemmas by an equi-join.
     """
     names = table(spark, sf_dir, "ontology").select("skill").distinct()
-    lemmas = names.select("skill", F.array_distinct(T.content_lemmas(F.col("skill"))).alias("kl")).select("skill", F.size("kl").alias("of"), F.explode("kl").alias("lemma"))
     n_names = names.count()
-    d = similarity.phrases_held(_docs(spark, sf_dir), "doc_id", "text", names, "skill").select("doc_id", "held", F.array_distinct(T.content_lemmas(F.col("text"))).alias("dl"))
-    whole = d.select("doc_id", F.explode_outer("held").alias("skill"), F.lit(1.0).alias("share"))
-    hits = d.select("doc_id", F.explode("dl").alias("lemma")).distinct().join(extract.bounded(lemmas), "lemma").groupBy("doc_id", "skill").agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
-    s = whole.unionByName(hits).groupBy("doc_id", "skill").agg(F.max("share").alias("share")).withColumn("share", F.when(F.col("skill").isNotNull(), F.col("share")).otherwise(0.0))
+    s = similarity.held_shares(_docs(spark, sf_dir), "doc_id", "text", names, "skill")
     x = s.groupBy("doc_id").agg(F.count_if(F.col("share") >= 1).alias("n_present"), F.count_if((F.col("share") >= 0.5) & (F.col("share") < 1)).alias("n_partial"))
     return x.select("doc_id", "n_present", "n_partial", F.round((F.col("n_present") + 0.5 * F.col("n_partial")) / n_names, 6).alias("coverage"))
 
