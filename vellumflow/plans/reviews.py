@@ -10,7 +10,7 @@ from vellumflow.functions import rewrite as X
 from vellumflow.functions import text as T
 from vellumflow.operators import matching as M
 from vellumflow.operators import rules as U
-from vellumflow.plans import matching, parsing
+from vellumflow.plans import matching, parsing, scores
 from vellumflow.plans import sqltwin as Q
 from vellumflow.sources.tables import table
 
@@ -25,6 +25,15 @@ QUESTIONS = [
 ]
 
 
+# Invented texts of two words too often, under negative ids, so that the check has something to find.
+STUFFED = [(-1, "Python developer Python services Python tests and Python again. " * 6), (-2, "cloud engineer for the cloud and more cloud, cloud work with data " * 8 + "data " * 40)]
+
+
+def _stuffable(spark, sf_dir) -> DataFrame:
+    """resume_id, raw_text of all résumés and of the invented ones."""
+    return parsing._texts(spark, sf_dir).unionByName(spark.createDataFrame(STUFFED, "resume_id bigint, raw_text string"))
+
+
 def _bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, bullet of all résumés, and invented weak ones under negative ids."""
     b = table(spark, sf_dir, "parsed_resume").select("doc_id", "bullets").distinct().select("doc_id", F.posexplode("bullets").alias("pos", "bullet"))
@@ -33,38 +42,103 @@ def _bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark, sf_dir) -> DataFrame:
-    t = parsing._texts(spark, sf_dir)
-    base = t.select("resume_id", F.size(F.filter(F.split("raw_text", "[ \t\r\n]+"), lambda w: w != "")).alias("n_words"), F.regexp_count("raw_text", F.lit(r"[^\x00-\x7F]")).alias("n_odd"), F.regexp_count("raw_text", F.lit(r"\b(?:I|me|my|mine|myself)\b")).alias("n_pronouns"))
-    lines = parsing._lines(spark, sf_dir)
+    t = _stuffable(spark, sf_dir)
+    rows = F.filter(F.split("raw_text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    base = t.select(
+        "resume_id", F.size(F.filter(F.split("raw_text", "[ \t\r\n]+"), lambda w: w != "")).alias("n_words"), F.regexp_count("raw_text", F.lit(r"[^\x00-\x7F]")).alias("n_odd"), F.regexp_count("raw_text", F.lit(r"\b(?:I|me|my|mine|myself)\b")).alias("n_pronouns"),
+        F.size(rows).alias("n_rows"), F.size(F.filter(rows, lambda x: F.trim(x, F.lit(" \t\r")).rlike("[^ ] {4,}[^ ]"))).alias("n_gaps"), F.size(F.filter(rows, lambda x: x.rlike(r"\|.*\|"))).alias("n_cells"),
+    )
+    base = base.withColumn("layout", ((F.col("n_rows") >= 15) & (F.col("n_gaps") > 0.35 * F.col("n_rows"))) | (F.col("n_cells") >= 3)).drop("n_rows", "n_gaps", "n_cells")
+    lines = parsing.P.lines(t, "resume_id", "raw_text")
     b = F.when(F.col("is_bullet"), parsing.P.bullet_text(F.col("line")))
     per = lines.groupBy("resume_id").agg(
         F.count_distinct(F.when(F.col("section").isin(*U.STANDARD) & ~F.col("is_blank"), F.col("section"))).alias("n_sections"), F.count(b).alias("n_bullets"), F.count_if(X.word_count(b) > 34).alias("n_long"),
         F.count_if(T.first_word(b).isin(T.STRONG_VERBS)).alias("n_strong"), F.count_if(b.isNotNull() & T.has_metric(b)).alias("n_measured"),
     )
     stuffed = U.stuffing_terms(t, "resume_id", "raw_text").groupBy("resume_id").agg(F.count(F.lit(1)).alias("n_stuffed"))
-    return base.join(per, "resume_id", "left").join(stuffed, "resume_id", "left").na.fill(0)
+    r = table(spark, sf_dir, "resumes").select("resume_id", "email", "phone", "linkedin", "file_type", "word_count")
+    some = sum((F.when(F.coalesce(c, F.lit("")) != "", 1).otherwise(0) for c in ("email", "phone", "linkedin")), F.lit(0))
+    known = r.groupBy("resume_id").agg(F.max(some).alias("n_contact"), F.coalesce(F.max((F.col("file_type") == "pdf") & (F.col("word_count") < 60)), F.lit(False)).alias("image"))
+    e = table(spark, sf_dir, "doc_entry").where("section = 'experience'").select("doc_id", "entry", "date_range").distinct()
+    jobs = e.groupBy(F.col("doc_id").alias("resume_id")).agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.coalesce("date_range", F.lit("")) != "").alias("n_dated"))
+    for other in (per, stuffed, known, jobs):
+        base = base.join(other, "resume_id", "left")
+    return base.na.fill(0).na.fill(False)
 
 
 def stuffing_terms(spark, sf_dir):
-    """ATS-16: words that a résumé repeats too often."""
-    return U.stuffing_terms(parsing._texts(spark, sf_dir), "resume_id", "raw_text")
+    """ATS-16: words that a text repeats too often."""
+    return U.stuffing_terms(_stuffable(spark, sf_dir), "resume_id", "raw_text")
 
 
 def quality_checks(spark, sf_dir):
-    """ATS-1, 4, 6, 7, 9..12, 16: one row a check."""
-    return U.checks(_features(spark, sf_dir), "resume_id").select("resume_id", "check_id", "family", "status", F.round("points", 6).alias("points"))
+    """ATS-1..12, 16: one row a check that needs no target."""
+    return U.checks(_features(spark, sf_dir), "resume_id").select("resume_id", "check_id", "family", "status", F.round(F.col("points") + 1e-9, 6).alias("points"))
 
 
 def quality_scores(spark, sf_dir):
-    """ATS-0 in part: scores of families and of the whole over the nine checks of quality_checks (of 16), with the band."""
-    s = U.totals(U.checks(_features(spark, sf_dir), "resume_id"), "resume_id")
+    """ATS-0 without a target: scores of families and of the whole over thirteen checks, with the band and what failed."""
+    s = U.totals(U.checks(_features(spark, sf_dir), "resume_id"), ["resume_id"])
     return s.withColumn("band", U.band(F.round("score", 1)))
 
 
+def _pair_counts(spark, sf_dir) -> DataFrame:
+    m = matching._matches(spark, sf_dir)
+    required = F.col("tier") == "required"
+    return m.groupBy("doc_id", "target_id").agg(
+        F.count_if((F.col("status") == "missing") & (F.col("priority") == "high")).alias("n_blocking"), F.count_if((F.col("status") == "partial") & (F.coalesce("via", F.lit("")) == "")).alias("n_declared"),
+        F.count_if(required).alias("n_required"), F.count_if(required & (F.col("status") == "matched")).alias("n_required_matched"),
+        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("skill") != "", F.struct("ord", "skill")))), lambda x: x["skill"]), 1, 8).alias("first_keywords"),
+    )
+
+
+def pair_quality_scores(spark, sf_dir):
+    """ATS-0, 13..15: scores of families and of the whole over all sixteen checks of each pair."""
+    w = scores.wide(spark, sf_dir).select("doc_id", "target_id", "coverage")
+    keys = ["doc_id", "target_id"]
+    own = U.target_checks(w.join(_pair_counts(spark, sf_dir), keys), keys)
+    base = U.checks(_features(spark, sf_dir), "resume_id").withColumnRenamed("resume_id", "doc_id")
+    every = w.select(*keys).join(base, "doc_id").unionByName(own)
+    return U.totals(every, keys).withColumn("band", U.band(F.round("score", 1)))
+
+
+def _section_features(spark, sf_dir) -> DataFrame:
+    keys = ["doc_id", "target_id"]
+    lines = parsing._lines(spark, sf_dir).where("section in ('summary', 'skills')")
+    block = lambda s: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("pos", "line")))), lambda x: x["line"]), "\n"), F.lit(" \t\n"))
+    blocks = lines.groupBy(F.col("resume_id").alias("doc_id")).agg(block("summary").alias("summary"), block("skills").alias("skills_block"))
+    raw = F.coalesce("entry_raw", F.lit(""))
+    b = F.coalesce("bullets", F.array().cast("array<string>"))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    of = lambda s: F.col("section") == s
+    e = scores._entries(spark, sf_dir).groupBy("doc_id").agg(
+        F.count_if(of("experience") & filled("date_range")).alias("n_dated"), F.coalesce(F.sum(F.when(of("experience"), F.size(F.filter(b, lambda x: T.first_word(x).isin(T.STRONG_VERBS))))), F.lit(0)).alias("job_strong"),
+        F.count_if(of("projects") & (filled("tech_hint") | raw.rlike(U.TOOLS))).alias("projects_tools"), F.count_if(of("projects") & raw.rlike(U.LINK)).alias("projects_linked"),
+        F.count_if(of("education") & filled("degree")).alias("n_degree"), F.count_if(of("education") & filled("grad_year")).alias("n_year"),
+    )
+    terms = table(spark, sf_dir, "parsed_resume").groupBy("doc_id").agg(F.max(F.coalesce(F.size("skill_section_terms"), F.lit(0))).alias("n_terms"))
+    x = scores.wide(spark, sf_dir).select(*keys, "relevance", "n_jobs", "job_bullets", "job_measured", "n_projects", "project_bullets", "projects_measured", "n_education", "technical", "certs")
+    x = x.join(_pair_counts(spark, sf_dir), keys)
+    for other in (blocks, e, terms):
+        x = x.join(other, "doc_id", "left")
+    x = x.na.fill(0).na.fill("")
+    low = F.lower("summary")
+    x = x.withColumn("n_summary_words", X.word_count(F.regexp_replace("summary", "\n", " "))).withColumn("n_generic", sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in U.GENERIC), F.lit(0)))
+    x = x.withColumn("n_named", F.size(F.filter("first_keywords", lambda k: F.contains(low, F.lower(k))))).withColumn("role_named", F.contains(low, F.replace(F.get(F.split("target_id", ":"), F.lit(1)), F.lit("-"), F.lit(" "))))
+    return x.withColumn("grouped", F.contains("skills_block", F.lit(":")) | (F.regexp_count("skills_block", F.lit("\n")) >= 3))
+
+
+def section_checks(spark, sf_dir):
+    """SEC-1..6: every check of the five sections of each pair."""
+    c = U.section_checks(_section_features(spark, sf_dir), ["doc_id", "target_id"])
+    r = F.round(F.col("ratio") + 1e-9, 6)
+    return c.select("doc_id", "target_id", "section", "check_id", r.alias("ratio"), F.when(r >= 0.8, "pass").when(r >= 0.4, "warn").otherwise("fail").alias("status"))
+
+
 def section_scores(spark, sf_dir):
-    """SEC-0 in part, SEC-1, 4..6: scores of the entry sections, without summary and skills."""
-    e = table(spark, sf_dir, "doc_entry").select("doc_id", "section", "entry", "bullets", "date_range", "tech_hint", "degree", "field_of_study", "grad_year").distinct()
-    return U.section_scores(e)
+    """SEC-0: score, verdict and weakest check of the five sections of each pair, and their mean."""
+    keys = ["doc_id", "target_id"]
+    return U.section_totals(U.section_checks(_section_features(spark, sf_dir), keys).withColumn("ratio", F.round("ratio", 9)), keys)
 
 
 def bullet_weakness(spark, sf_dir):
@@ -150,29 +224,89 @@ _WC = "len([w FOR w IN regexp_split_to_array({x}, '[ \\t]+') IF w <> ''])"
 _FIRST = "lower(regexp_extract({x}, '[A-Za-z]+'))"
 _METRIC = "regexp_matches({x}, " + Q.quoted(T.METRIC) + ")"
 _RT = "(SELECT DISTINCT resume_id, raw_text FROM resumes WHERE raw_text IS NOT NULL)"
-_STUFF = f"""sw AS (SELECT resume_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), '[a-z][a-z+#.]{{2,}}') AS ws FROM {_RT})),
+_RTS = f"(SELECT DISTINCT resume_id, raw_text FROM resumes WHERE raw_text IS NOT NULL UNION ALL SELECT * FROM {Q.values(STUFFED, 'resume_id, raw_text')})"
+_STUFF = f"""sw AS (SELECT resume_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), '[a-z][a-z+#.]{{2,}}') AS ws FROM {_RTS})),
   sc AS (SELECT resume_id, word, count(*) AS n, min(p) AS first FROM sw GROUP BY ALL), sr AS (SELECT *, n / sum(n) OVER (PARTITION BY resume_id) AS share, row_number() OVER (PARTITION BY resume_id ORDER BY n DESC, first) AS r FROM sc),
   st AS (SELECT resume_id, word, n, round(share, 6) AS share FROM sr WHERE r <= 40 AND n >= 9 AND share > 0.012 AND word NOT IN {Q.listed(U.COMMON)})"""
-_CHECKS = f"""{parsing._SQL_LINES}, {_STUFF},
-  f0 AS (SELECT resume_id, {_WC.format(x='raw_text').replace('[ ', '[ \\r\\n')} AS n_words, len(regexp_extract_all(raw_text, '[^\\x00-\\x7F]')) AS n_odd, len(regexp_extract_all(raw_text, '\\b(?:I|me|my|mine|myself)\\b')) AS n_pronouns FROM {_RT}),
-  lb AS (SELECT *, CASE WHEN is_bullet THEN {parsing._BTEXT} END AS bt FROM l),
+_TRIM = "trim(x, ' ' || chr(9) || chr(13))"
+
+
+def _checks(lines: str) -> str:
+    """CTEs from `l` (the lines of all texts and the invented ones) to ck, the thirteen checks of each text."""
+    rows = [
+        ("text_extractable", "parsability", "CASE WHEN n_words > 120 THEN 'pass' ELSE 'fail' END", "CASE WHEN n_words > 120 THEN 10.0 ELSE 0 END", 10),
+        ("simple_layout", "parsability", "CASE WHEN layout THEN 'warn' ELSE 'pass' END", "CASE WHEN layout THEN 3.0 ELSE 8 END", 8),
+        ("no_image_text", "parsability", "CASE WHEN image THEN 'warn' ELSE 'pass' END", "CASE WHEN image THEN 2.0 ELSE 5 END", 5),
+        ("character_set", "parsability", "CASE WHEN n_odd < 25 THEN 'pass' ELSE 'warn' END", "CASE WHEN n_odd < 25 THEN 4.0 ELSE 1.5 END", 4),
+        ("contact_block", "structure", "CASE WHEN n_contact >= 2 THEN 'pass' ELSE 'fail' END", "CASE WHEN n_contact >= 2 THEN 4.0 * n_contact ELSE 2 END", 12),
+        ("standard_headings", "structure", "CASE WHEN n_sections >= 3 THEN 'pass' WHEN n_sections = 2 THEN 'warn' ELSE 'fail' END", "12.0 * n_sections / 4", 12),
+        ("length", "structure", "CASE WHEN n_words BETWEEN 380 AND 950 THEN 'pass' ELSE 'warn' END", "CASE WHEN n_words BETWEEN 380 AND 950 THEN 8.0 WHEN n_words < 380 THEN 4 ELSE 4.5 END", 8),
+        ("dates", "structure", "CASE WHEN n_jobs = n_dated THEN 'pass' ELSE 'warn' END", "CASE WHEN n_jobs = 0 THEN 6.0 ELSE 6.0 * n_dated / n_jobs END", 6),
+        ("bullets", "content", "CASE WHEN n_bullets = 0 THEN 'fail' WHEN sh > 0.8 THEN 'pass' ELSE 'warn' END", "CASE WHEN n_bullets > 0 THEN 8.0 * sh ELSE 0 END", 8),
+        ("action_verbs", "content", "CASE WHEN sv >= 0.6 THEN 'pass' WHEN sv >= 0.3 THEN 'warn' ELSE 'fail' END", "10.0 * least(1, sv / 0.7)", 10),
+        ("quantified", "content", "CASE WHEN sm >= 0.4 THEN 'pass' WHEN sm >= 0.2 THEN 'warn' ELSE 'fail' END", "12.0 * least(1, sm / 0.5)", 12),
+        ("pronouns", "content", "CASE WHEN n_pronouns <= 3 THEN 'pass' ELSE 'warn' END", "CASE WHEN n_pronouns <= 3 THEN 4.0 ELSE 1.5 END", 4),
+        ("keyword_stuffing", "keywords", "CASE WHEN n_stuffed = 0 THEN 'pass' ELSE 'warn' END", "CASE WHEN n_stuffed = 0 THEN 6.0 ELSE 3 END", 6),
+    ]
+    each = " UNION ALL ".join(f"SELECT resume_id, '{i}' AS check_id, '{f}' AS family, {s} AS status, ({p})::DOUBLE AS points, {m}::DOUBLE AS most FROM fx" for i, f, s, p, m in rows)
+    return f"""{_STUFF},
+  f0 AS (SELECT resume_id, {_WC.format(x='raw_text').replace('[ ', '[ \\r\\n')} AS n_words, len(regexp_extract_all(raw_text, '[^\\x00-\\x7F]')) AS n_odd, len(regexp_extract_all(raw_text, '\\b(?:I|me|my|mine|myself)\\b')) AS n_pronouns,
+    [x FOR x IN string_split(raw_text, chr(10)) IF {_TRIM} <> ''] AS rs FROM {_RTS}),
+  f00 AS (SELECT *, (len(rs) >= 15 AND len([x FOR x IN rs IF regexp_matches({_TRIM}, '[^ ] {{4,}}[^ ]')]) > 0.35 * len(rs)) OR len([x FOR x IN rs IF regexp_matches(x, '\\|.*\\|')]) >= 3 AS layout FROM f0),
+  lb AS (SELECT *, CASE WHEN is_bullet THEN {parsing._BTEXT} END AS bt FROM {lines}),
   f1 AS (SELECT resume_id, count(DISTINCT CASE WHEN section IN {Q.listed(U.STANDARD)} AND NOT is_blank THEN section END) AS n_sections, count(bt) AS n_bullets, count(*) FILTER ({_WC.format(x='bt')} > 34) AS n_long,
     count(*) FILTER ({_FIRST.format(x='bt')} IN {Q.listed(T.STRONG_VERBS)}) AS n_strong, count(*) FILTER (bt IS NOT NULL AND {_METRIC.format(x='bt')}) AS n_measured FROM lb GROUP BY ALL),
-  f AS (SELECT f0.*, coalesce(n_sections, 0) AS n_sections, coalesce(n_bullets, 0) AS n_bullets, coalesce(ns, 0) AS n_stuffed, CASE WHEN n_bullets > 0 THEN n_strong / n_bullets ELSE 0 END AS sv, CASE WHEN n_bullets > 0 THEN n_measured / n_bullets ELSE 0 END AS sm, 1 - CASE WHEN n_bullets > 0 THEN n_long / n_bullets ELSE 0 END AS sh
-    FROM f0 LEFT JOIN f1 USING (resume_id) LEFT JOIN (SELECT resume_id, count(*) AS ns FROM st GROUP BY ALL) USING (resume_id)),
-  ck AS (SELECT resume_id, 'text_extractable' AS check_id, 'parsability' AS family, CASE WHEN n_words > 120 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN n_words > 120 THEN 10.0 ELSE 0 END AS points, 10 AS most FROM f
-    UNION ALL SELECT resume_id, 'character_set', 'parsability', CASE WHEN n_odd < 25 THEN 'pass' ELSE 'warn' END, CASE WHEN n_odd < 25 THEN 4.0 ELSE 1.5 END, 4 FROM f
-    UNION ALL SELECT resume_id, 'standard_headings', 'structure', CASE WHEN n_sections >= 3 THEN 'pass' WHEN n_sections = 2 THEN 'warn' ELSE 'fail' END, 12.0 * n_sections / 4, 12 FROM f
-    UNION ALL SELECT resume_id, 'length', 'structure', CASE WHEN n_words BETWEEN 380 AND 950 THEN 'pass' ELSE 'warn' END, CASE WHEN n_words BETWEEN 380 AND 950 THEN 8.0 WHEN n_words < 380 THEN 4 ELSE 4.5 END, 8 FROM f
-    UNION ALL SELECT resume_id, 'bullets', 'content', CASE WHEN n_bullets = 0 THEN 'fail' WHEN sh > 0.8 THEN 'pass' ELSE 'warn' END, CASE WHEN n_bullets > 0 THEN 8.0 * sh ELSE 0 END, 8 FROM f
-    UNION ALL SELECT resume_id, 'action_verbs', 'content', CASE WHEN sv >= 0.6 THEN 'pass' WHEN sv >= 0.3 THEN 'warn' ELSE 'fail' END, 10.0 * least(1, sv / 0.7), 10 FROM f
-    UNION ALL SELECT resume_id, 'quantified', 'content', CASE WHEN sm >= 0.4 THEN 'pass' WHEN sm >= 0.2 THEN 'warn' ELSE 'fail' END, 12.0 * least(1, sm / 0.5), 12 FROM f
-    UNION ALL SELECT resume_id, 'pronouns', 'content', CASE WHEN n_pronouns <= 3 THEN 'pass' ELSE 'warn' END, CASE WHEN n_pronouns <= 3 THEN 4.0 ELSE 1.5 END, 4 FROM f
-    UNION ALL SELECT resume_id, 'keyword_stuffing', 'keywords', CASE WHEN n_stuffed = 0 THEN 'pass' ELSE 'warn' END, CASE WHEN n_stuffed = 0 THEN 6.0 ELSE 3 END, 6 FROM f)"""
+  fk AS (SELECT resume_id, max((coalesce(email, '') <> '')::INT + (coalesce(phone, '') <> '')::INT + (coalesce(linkedin, '') <> '')::INT) AS n_contact, coalesce(bool_or(file_type = 'pdf' AND word_count < 60), false) AS image FROM resumes GROUP BY resume_id),
+  fj AS (SELECT doc_id AS resume_id, count(*) AS n_jobs, count(*) FILTER (coalesce(date_range, '') <> '') AS n_dated FROM (SELECT DISTINCT doc_id, entry, date_range FROM doc_entry WHERE section = 'experience') GROUP BY doc_id),
+  fx AS (SELECT f00.resume_id, n_words, n_odd, n_pronouns, layout, coalesce(image, false) AS image, coalesce(n_contact, 0) AS n_contact, coalesce(n_jobs, 0) AS n_jobs, coalesce(n_dated, 0) AS n_dated, coalesce(n_sections, 0) AS n_sections, coalesce(n_bullets, 0) AS n_bullets, coalesce(ns, 0) AS n_stuffed,
+    CASE WHEN n_bullets > 0 THEN n_strong / n_bullets ELSE 0 END AS sv, CASE WHEN n_bullets > 0 THEN n_measured / n_bullets ELSE 0 END AS sm, 1 - CASE WHEN n_bullets > 0 THEN n_long / n_bullets ELSE 0 END AS sh
+    FROM f00 LEFT JOIN f1 USING (resume_id) LEFT JOIN (SELECT resume_id, count(*) AS ns FROM st GROUP BY ALL) USING (resume_id) LEFT JOIN fk USING (resume_id) LEFT JOIN fj USING (resume_id)),
+  ck AS ({each})"""
+
+
+_CHECKS = parsing._SQL_LINES.replace(parsing._TEXTS, _RTS) + ", " + _checks("l")
+_GRADES = "CASE WHEN round(score, 1) >= 85 THEN 'ready' WHEN round(score, 1) >= 70 THEN 'mostly compatible' WHEN round(score, 1) >= 55 THEN 'needs work' ELSE 'high risk' END"
+
+
+def _totals(keys: str, source: str) -> str:
+    return f"""tt AS (SELECT {keys}, family, round(100 * sum(points) / sum(most) + 1e-9, 4) AS score, count(*) FILTER (status = 'pass') AS n_pass, count(*) FILTER (status = 'warn') AS n_warn, count(*) FILTER (status = 'fail') AS n_fail,
+    coalesce(array_to_string(list(check_id ORDER BY check_id) FILTER (status = 'fail'), '|'), '') AS failures FROM (SELECT * FROM {source} UNION ALL SELECT * REPLACE ('all' AS family) FROM {source}) GROUP BY ALL)
+    SELECT *, {_GRADES} AS band FROM tt"""
+
+
+_PC = """pc AS (SELECT doc_id, target_id, count(*) FILTER (status = 'missing' AND priority = 'high') AS n_blocking, count(*) FILTER (status = 'partial' AND coalesce(via, '') = '') AS n_declared, count(*) FILTER (tier = 'required') AS n_required,
+    count(*) FILTER (tier = 'required' AND status = 'matched') AS n_required_matched, coalesce((list(skill ORDER BY ord) FILTER (skill <> ''))[1:8], []) AS fk8 FROM m GROUP BY ALL)"""
+# the invented texts have lines too, and only here: their CTEs stand apart from those of the pair
+_PAIR_CHECKS = f"cq AS (WITH {_CHECKS} SELECT * FROM ck)"
+_SECTION_ROWS = [
+    ("summary", "present", "(summary <> '')::INT", 25), ("summary", "length", "CASE WHEN summary = '' THEN 0 WHEN nw BETWEEN 20 AND 70 THEN 1 WHEN nw <= 110 THEN 0.5 ELSE 0.25 END", 20),
+    ("summary", "specific", "CASE WHEN ng > 0 OR summary = '' THEN 0 ELSE 1 END", 25), ("summary", "aligned", "CASE WHEN summary = '' THEN 0 ELSE nk / 2 + CASE WHEN rn THEN 0.5 ELSE 0 END END", 30),
+    ("skills", "present", "(skills_block <> '')::INT", 20), ("skills", "breadth", "n_terms / 12", 15), ("skills", "grouped", "(contains(skills_block, ':') OR len(string_split(skills_block, chr(10))) >= 4)::INT", 15),
+    ("skills", "evidence", "1 - least(1, n_declared / greatest(1, n_required))", 25), ("skills", "covers", "CASE WHEN n_required > 0 THEN n_required_matched / n_required ELSE 0 END", 25),
+    ("experience", "present", "(n_jobs > 0)::INT", 20), ("experience", "dated", "CASE WHEN n_jobs > 0 THEN n_dated / n_jobs ELSE 0 END", 15), ("experience", "depth", "CASE WHEN n_jobs > 0 THEN job_bullets / n_jobs / 3 ELSE 0 END", 15),
+    ("experience", "verbs", "CASE WHEN job_bullets > 0 THEN job_strong / job_bullets ELSE 0 END", 20), ("experience", "measured", "CASE WHEN job_bullets > 0 THEN 2 * job_measured / job_bullets ELSE 0 END", 20), ("experience", "relevant", "relevance / 0.35", 10),
+    ("projects", "present", "(n_projects > 0)::INT", 25), ("projects", "enough", "n_projects / 2", 10), ("projects", "depth", "CASE WHEN n_projects > 0 THEN project_bullets / n_projects / 3 ELSE 0 END", 15),
+    ("projects", "tools", "CASE WHEN n_projects > 0 THEN projects_tools / n_projects ELSE 0 END", 20), ("projects", "measured", "CASE WHEN n_projects > 0 THEN projects_measured / n_projects ELSE 0 END", 20), ("projects", "linked", "CASE WHEN n_projects > 0 THEN projects_linked / n_projects ELSE 0 END", 10),
+    ("education", "present", "(n_education > 0)::INT", 30), ("education", "degree", "CASE WHEN n_education > 0 THEN n_degree / n_education ELSE 0 END", 20), ("education", "dated", "CASE WHEN n_education > 0 THEN n_year / n_education ELSE 0 END", 15),
+    ("education", "field", "technical::INT", 20), ("education", "certificates", "certs / 2", 15),
+]
+
+
+def _block(s: str) -> str:
+    return f"coalesce(trim(string_agg(line, chr(10) ORDER BY pos) FILTER (section = '{s}'), ' ' || chr(9) || chr(10)), '')"
 
 
-def _ratio(x: str, most: float) -> str:
-    return f"{most} * greatest(0, least(1, {x}))"
+_SECTIONS = f"""{scores._WIDE}, {_PC},
+  sb AS (SELECT resume_id AS doc_id, {_block('summary')} AS summary, {_block('skills')} AS skills_block FROM l WHERE section IN ('summary', 'skills') GROUP BY resume_id),
+  se AS (SELECT doc_id, count(*) FILTER (section = 'experience' AND coalesce(date_range, '') <> '') AS n_dated, coalesce(sum(len([x FOR x IN coalesce(bullets, []) IF {_FIRST.format(x='x')} IN {Q.listed(T.STRONG_VERBS)}])) FILTER (section = 'experience'), 0) AS job_strong,
+    count(*) FILTER (section = 'projects' AND (coalesce(tech_hint, '') <> '' OR regexp_matches(coalesce(entry_raw, ''), {Q.quoted(U.TOOLS)}))) AS projects_tools, count(*) FILTER (section = 'projects' AND regexp_matches(coalesce(entry_raw, ''), {Q.quoted(U.LINK)})) AS projects_linked,
+    count(*) FILTER (section = 'education' AND coalesce(degree, '') <> '') AS n_degree, count(*) FILTER (section = 'education' AND coalesce(grad_year, '') <> '') AS n_year FROM en GROUP BY doc_id),
+  sm AS (SELECT doc_id, max(coalesce(len(skill_section_terms), 0)) AS n_terms FROM parsed_resume GROUP BY doc_id),
+  s0 AS (SELECT wd.*, n_declared, n_required, n_required_matched, fk8, coalesce(summary, '') AS summary, coalesce(skills_block, '') AS skills_block, coalesce(n_dated, 0) AS n_dated, coalesce(job_strong, 0) AS job_strong, coalesce(projects_tools, 0) AS projects_tools,
+    coalesce(projects_linked, 0) AS projects_linked, coalesce(n_degree, 0) AS n_degree, coalesce(n_year, 0) AS n_year, coalesce(n_terms, 0) AS n_terms FROM wd JOIN pc USING (doc_id, target_id) LEFT JOIN sb USING (doc_id) LEFT JOIN se USING (doc_id) LEFT JOIN sm USING (doc_id)),
+  s1 AS (SELECT *, {_WC.format(x="replace(summary, chr(10), ' ')")} AS nw, {' + '.join(f"contains(lower(summary), {Q.quoted(p)})::INT" for p in U.GENERIC)} AS ng, len([k FOR k IN fk8 IF contains(lower(summary), lower(k))]) AS nk,
+    contains(lower(summary), replace(split_part(target_id, ':', 2), '-', ' ')) AS rn FROM s0),
+  ss AS ({' UNION ALL '.join(f"SELECT doc_id, target_id, '{s}' AS section, {i} AS ord, '{c}' AS check_id, greatest(0, least(1, ({r})))::DOUBLE AS ratio, {m}::DOUBLE AS most FROM s1" for i, (s, c, r, m) in enumerate(_SECTION_ROWS))})"""
 
 
 def _fill(x: str) -> str:
@@ -191,20 +325,23 @@ _INT = " ".join(f"WHEN regexp_matches(low, {Q.quoted('|'.join(w))}) THEN '{n}'"
 
 QUERIES = {
     f.__name__: f
-    for f in (stuffing_terms, quality_checks, quality_scores, section_scores, bullet_weakness, bullet_rewrites, number_screen, blank_strip, line_kinds, skill_groups, safe_names, intent_route, score_answers, missing_bars)
+    for f in (stuffing_terms, quality_checks, quality_scores, pair_quality_scores, section_checks, section_scores, bullet_weakness, bullet_rewrites, number_screen, blank_strip, line_kinds, skill_groups, safe_names, intent_route, score_answers, missing_bars)
 }
 SQL = {
     "stuffing_terms": f"WITH {_STUFF} SELECT * FROM st",
-    "quality_checks": f"WITH {_CHECKS} SELECT resume_id, check_id, family, status, round(points::DOUBLE, 6) AS points FROM ck",
-    "quality_scores": f"""WITH {_CHECKS}, s AS (SELECT resume_id, coalesce(family, 'all') AS family, round(100 * sum(points::DOUBLE) / sum(most), 4) AS score, count(*) FILTER (status = 'pass') AS n_pass, count(*) FILTER (status = 'fail') AS n_fail FROM ck GROUP BY GROUPING SETS ((resume_id, family), (resume_id)))
-      SELECT *, CASE WHEN round(score, 1) >= 85 THEN 'ready' WHEN round(score, 1) >= 70 THEN 'mostly compatible' WHEN round(score, 1) >= 55 THEN 'needs work' ELSE 'high risk' END AS band FROM s""",
-    "section_scores": f"""WITH d AS (SELECT DISTINCT doc_id, section, entry, coalesce(bullets, []) AS bs, date_range, tech_hint, degree, field_of_study, grad_year FROM doc_entry),
-      e AS (SELECT doc_id, section, len(bs) AS nb, len([x FOR x IN bs IF {_METRIC.format(x='x')}]) AS nm, len([x FOR x IN bs IF {_FIRST.format(x='x')} IN {Q.listed(T.STRONG_VERBS)}]) AS nv, (coalesce(date_range, '') <> '')::INT AS a, (coalesce(tech_hint, '') <> '')::INT AS t, (coalesce(degree, '') <> '')::INT AS g, (coalesce(field_of_study, '') <> '')::INT AS f, (coalesce(grad_year, '') <> '')::INT AS y FROM d),
-      s AS (SELECT doc_id, section, count(*) AS n, sum(nb) AS nb, sum(nm) AS nm, sum(nv) AS nv, sum(a) AS a, sum(t) AS t, sum(g) AS g, sum(f) AS f, sum(y) AS y FROM e GROUP BY ALL),
-      q AS (SELECT *, CASE WHEN nb > 0 THEN nv / nb ELSE 0 END AS rv, CASE WHEN nb > 0 THEN nm / nb ELSE 0 END AS rm FROM s),
-      z AS (SELECT doc_id, section, round((CASE section WHEN 'experience' THEN (20 + {_ratio('a / n', 15)} + {_ratio('nb / n / 3', 15)} + {_ratio('rv', 20)} + {_ratio('2 * rm', 20)}) / 0.9
-        WHEN 'projects' THEN (25 + {_ratio('n / 2', 10)} + {_ratio('nb / n / 3', 15)} + {_ratio('t / n', 20)} + {_ratio('2 * rm', 20)}) / 0.9 ELSE (30 + {_ratio('g / n', 20)} + {_ratio('y / n', 15)} + {_ratio('f / n', 20)}) / 0.85 END)::DOUBLE, 4) AS score FROM q)
-      SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 55 THEN 'adequate' ELSE 'weak' END AS verdict FROM z""",
+    "quality_checks": f"WITH {_CHECKS} SELECT resume_id, check_id, family, status, round(points + 1e-9, 6) AS points FROM ck",
+    "quality_scores": f"WITH {_CHECKS}, {_totals('resume_id', 'ck')}",
+    "pair_quality_scores": f"""WITH {scores._WIDE}, {_PC}, {_PAIR_CHECKS},
+      cp AS (SELECT doc_id, target_id, check_id, family, status, points, most FROM wd JOIN cq ON cq.resume_id = wd.doc_id
+        UNION ALL SELECT doc_id, target_id, 'keyword_coverage', 'keywords', CASE WHEN coverage >= 0.5 THEN 'pass' WHEN coverage >= 0.25 THEN 'warn' ELSE 'fail' END, 12 * least(1, coverage / 0.6), 12 FROM wd
+        UNION ALL SELECT doc_id, target_id, 'required_skill_terms', 'keywords', CASE WHEN n_blocking = 0 THEN 'pass' WHEN n_blocking <= 2 THEN 'warn' ELSE 'fail' END, greatest(0, 10 - 2.5 * n_blocking), 10 FROM pc
+        UNION ALL SELECT doc_id, target_id, 'skill_placement', 'keywords', CASE WHEN n_declared <= 2 THEN 'pass' ELSE 'warn' END, greatest(2, 8 - 1.5 * n_declared), 8 FROM pc), {_totals('doc_id, target_id', 'cp')}""",
+    "section_checks": f"WITH {_SECTIONS} SELECT doc_id, target_id, section, check_id, round(ratio + 1e-9, 6) AS ratio, CASE WHEN round(ratio + 1e-9, 6) >= 0.8 THEN 'pass' WHEN round(ratio + 1e-9, 6) >= 0.4 THEN 'warn' ELSE 'fail' END AS status FROM ss",
+    "section_scores": f"""WITH {_SECTIONS}, sr2 AS (SELECT * REPLACE (round(ratio, 9) AS ratio) FROM ss), sg AS (SELECT doc_id, target_id, section, 100 * sum(ratio * most) / sum(most) AS s, max(ratio) FILTER (check_id = 'present') AS present FROM sr2 GROUP BY ALL),
+      sw2 AS (SELECT doc_id, target_id, section, check_id AS weakest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id, section ORDER BY ratio, ord) AS r FROM sr2 WHERE ratio < 0.8) WHERE r = 1),
+      sa2 AS (SELECT doc_id, target_id, 'all' AS section, avg(s) AS s, 1.0 AS present, (list(section ORDER BY round(s, 6), section))[1] AS weakest FROM sg GROUP BY ALL),
+      sx AS (SELECT doc_id, target_id, section, s, present, weakest FROM sg LEFT JOIN sw2 USING (doc_id, target_id, section) UNION ALL SELECT * FROM sa2)
+      SELECT doc_id, target_id, section, round(s + 1e-9, 4) AS score, CASE WHEN present = 0 THEN 'missing' WHEN round(s + 1e-9, 4) >= 80 THEN 'strong' WHEN round(s + 1e-9, 4) >= 55 THEN 'adequate' ELSE 'weak' END AS verdict, coalesce(weakest, '') AS weakest FROM sx""",
     "bullet_weakness": f"""WITH {_B}, s AS (SELECT doc_id, pos, (CASE WHEN {_FIRST.format(x='bullet')} IN {Q.listed(T.WEAK_OPENERS)} THEN 3 WHEN {_FIRST.format(x='bullet')} NOT IN {Q.listed(T.STRONG_VERBS)} THEN 1.5 ELSE 0 END + CASE WHEN {_METRIC.format(x='bullet')} THEN 0 ELSE 2.5 END
       + CASE WHEN {_WC.format(x='bullet')} > 34 THEN 1 ELSE 0 END + CASE WHEN {_WC.format(x='bullet')} < 8 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(bullet, {Q.quoted(X.ANY_FILLER)}) THEN 1 ELSE 0 END)::DOUBLE AS weakness FROM b WHERE bullet IS NOT NULL)
       SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weakness DESC, pos) AS rank, pos, weakness FROM s) WHERE rank <= 6""",
