@@ -63,16 +63,6 @@ def declared_terms(spark, sf_dir):
     return P.skill_terms(_lines(spark, sf_dir), "resume_id").select("resume_id", F.col("ord").cast("bigint").alias("ord"), "term")
 
 
-def section_items(spark, sf_dir):
-    """PRS-10: items of a list section, here the summary."""
-    return P.list_items(_lines(spark, sf_dir), "resume_id", "summary").select("resume_id", F.col("ord").cast("bigint").alias("ord"), "item")
-
-
-def contact_details(spark, sf_dir):
-    """PRS-12, 13: e-mail address, phone number, profile and name out of each text."""
-    return P.contact(_texts(spark, sf_dir), "resume_id", "raw_text")
-
-
 def total_experience(spark, sf_dir):
     """PRS-16, 17: months and entries of each résumé from its entry table, overlaps counted twice."""
     e = table(spark, sf_dir, "doc_entry").select("doc_id", "section", "entry", "duration_months").distinct()
@@ -129,7 +119,7 @@ def _month(p: str) -> str:
 _DR = Q.quoted(P.DATE_RANGE)
 _EDGE = "' |,-–—'"
 
-QUERIES = {f.__name__: f for f in (doc_sections, doc_bullets, entry_islands, experience_entries, project_entries, education_entries, declared_terms, section_items, contact_details, total_experience)}
+QUERIES = {f.__name__: f for f in (doc_sections, doc_bullets, entry_islands, experience_entries, project_entries, education_entries, declared_terms, total_experience)}
 SQL = {
     "doc_sections": f"WITH {_SQL_LINES} SELECT resume_id, section, count(*) AS n_lines, count(*) FILTER (is_bullet) AS n_bullets, count(*) FILTER (is_blank) AS n_blank FROM l GROUP BY ALL",
     "doc_bullets": f"WITH {_SQL_LINES} SELECT resume_id, pos, {_BTEXT} AS bullet FROM l WHERE is_bullet AND {_WORDS.format(x=_BTEXT)} >= 3",
@@ -162,7 +152,5 @@ SQL = {
       p AS (SELECT resume_id, pos, unnest(range(0, len(ps))) AS i, trim(unnest(ps), ' .-' || chr(9)) AS term FROM s),
       f AS (SELECT *, row_number() OVER (PARTITION BY resume_id, lower(term) ORDER BY pos, i) AS n FROM p WHERE length(term) BETWEEN 2 AND 40)
       SELECT * FROM (SELECT resume_id, row_number() OVER (PARTITION BY resume_id ORDER BY pos, i) - 1 AS ord, term FROM f WHERE n = 1) WHERE ord < 120""",
-    "section_items": f"""WITH {_SQL_LINES}, s AS (SELECT resume_id, pos, trim(regexp_replace(line, {Q.quoted(P.BULLET)}, ''), ' .;') AS item FROM l WHERE section = 'summary' AND NOT is_blank)
-      SELECT * FROM (SELECT resume_id, row_number() OVER (PARTITION BY resume_id ORDER BY pos) - 1 AS ord, item FROM s WHERE {_WORDS.format(x='item')} >= 2 AND length(item) <= 220) WHERE ord < 25""",
     "total_experience": "SELECT doc_id, coalesce(sum(duration_months) FILTER (section = 'experience'), 0)::BIGINT AS months, count(*) FILTER (section = 'experience') AS n_experience, count(*) FILTER (section = 'projects') AS n_projects, count(*) FILTER (section = 'education') AS n_education FROM (SELECT DISTINCT doc_id, section, entry, duration_months FROM doc_entry) GROUP BY ALL",
 }
