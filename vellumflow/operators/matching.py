@@ -92,15 +92,25 @@ def phase_weeks(weeks: str = "weeks") -> Column:
     return F.floor(F.max(weeks) + 0.5 * (F.sum(weeks) - F.max(weeks)))
 
 
-def roadmap(matches: DataFrame, ontology: DataFrame) -> DataFrame:
-    """Up to four phases of each pair, numbered in order: surface named skills, close high gaps, close the rest, emerging ones."""
+def roadmap(matches: DataFrame, ontology: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Up to five phases of each pair, numbered in order: surface named skills, close high gaps, build projects, close the rest, emerging ones.
+
+    ranked: the pair's projects (rank, weeks), of which the first two are built.
+    """
     g = matches.where("skill is not null").join(bounded(ontology.select("skill", "learn_weeks", "emerging")), "skill", "left")
-    g = g.withColumn("phase", F.when(F.col("status") == "partial", 1).when((F.col("status") == "missing") & (F.col("priority") == "high"), 2).when((F.col("status") == "missing") & F.coalesce("emerging", F.lit(False)), 4).when(F.col("status") == "missing", 3)).where("phase is not null")
-    most = F.when(F.col("phase") == 1, 6).when(F.col("phase") == 2, 4).when(F.col("phase") == 3, 5).otherwise(3)
+    g = g.withColumn("phase", F.when(F.col("status") == "partial", 1).when((F.col("status") == "missing") & (F.col("priority") == "high"), 2).when((F.col("status") == "missing") & F.coalesce("emerging", F.lit(False)), 5).when(F.col("status") == "missing", 4)).where("phase is not null")
+    most = F.when(F.col("phase") == 1, 6).when(F.col("phase") == 2, 4).when(F.col("phase") == 4, 5).otherwise(3)
     g = g.withColumn("r", F.row_number().over(W.partitionBy(*PAIR, "phase").orderBy(F.desc("importance"), "ord"))).where(F.col("r") <= most)
-    g = g.withColumn("weeks", F.when(F.col("phase") == 1, 1).otherwise(F.coalesce("learn_weeks", F.lit(4))))
-    p = g.groupBy(*PAIR, "phase").agg(phase_weeks().cast("bigint").alias("weeks"), F.count(F.lit(1)).alias("n_skills"))
-    return p.select(*PAIR, F.row_number().over(W.partitionBy(*PAIR).orderBy("phase")).cast("bigint").alias("number"), F.col("phase").cast("bigint").alias("phase"), "weeks", "n_skills")
+    g = g.select(*PAIR, "phase", F.when(F.col("phase") == 1, 1).otherwise(F.coalesce("learn_weeks", F.lit(4))).alias("weeks"))
+    g = g.unionByName(ranked.where("rank <= 2").select(*PAIR, F.lit(3).alias("phase"), "weeks"))
+    p = g.groupBy(*PAIR, "phase").agg(phase_weeks().cast("bigint").alias("weeks"), F.count(F.lit(1)).alias("n_items"))
+    return p.select(*PAIR, F.row_number().over(W.partitionBy(*PAIR).orderBy("phase")).cast("bigint").alias("number"), F.col("phase").cast("bigint").alias("phase"), "weeks", "n_items")
+
+
+def duration(weeks: Column) -> Column:
+    """Weeks below eight, whole months from there on."""
+    months = F.round(weeks / 4.345).cast("int").cast("string")
+    return F.when(weeks < 8, F.concat(weeks.cast("string"), F.lit(" weeks"))).otherwise(F.concat(F.lit("about "), months, F.lit(" months")))
 
 
 def projection(matches: DataFrame) -> DataFrame:
@@ -116,21 +126,42 @@ def radar(matches: DataFrame) -> DataFrame:
     return matches.where("category <> ''").groupBy(*PAIR, "category").agg(F.round(100 * F.sum(F.col("importance") * c) / F.sum("importance"), 4).alias("score"), F.count(F.lit(1)).alias("n_skills"), F.count_if(F.col("status") == "matched").alias("n_matched"))
 
 
-def rank_projects(matches: DataFrame, projects: DataFrame, top: int = 6) -> DataFrame:
-    """The projects that close the most of a pair's gaps: coverage of the weighted gap, role and difficulty; ties by catalogue order."""
+def _closing(matches: DataFrame, projects: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Every pair and project that closes some of its gaps: coverage of the weighted gap, what it closes, whether it fits the role and company."""
     gap = matches.where("status <> 'matched'").withColumn("weight", F.col("importance") * F.when(F.col("status") == "missing", 1.0).otherwise(0.4))
     total = gap.groupBy(*PAIR).agg(F.sum("weight").alias("total"))
-    taught = projects.select("project_id", "p_ord", "difficulty", "roles", F.explode("teaches").alias("skill"))
-    hit = gap.join(bounded(taught), "skill").groupBy(*PAIR, "project_id", "p_ord", "difficulty", "roles").agg(F.sum("weight").alias("closed"), F.count(F.lit(1)).alias("n_closed"), F.max((F.col("priority") == "high") & (F.col("status") == "missing")).alias("high"))
+    own = ["project_id", "p_ord", "difficulty", "roles", "companies", "weeks"]
+    taught = projects.select(*own, F.explode("teaches").alias("skill")).join(bounded(ontology.select("skill", "emerging")), "skill", "left")
+    high = (F.col("priority") == "high") & (F.col("status") == "missing")
+    names = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "skill")))), lambda x: x["skill"])
+    hit = gap.join(bounded(taught), "skill").groupBy(*PAIR, *own).agg(
+        F.sum("weight").alias("closed"), F.count(F.lit(1)).alias("n_closed"), F.max(high).alias("high"), F.max(F.coalesce("emerging", F.lit(False))).alias("emerging"), names(high).alias("high_names"), names(F.lit(True)).alias("names")
+    )
+    part = lambda n: F.get(F.split("target_id", ":"), F.lit(n))
     h = hit.join(total, [*PAIR]).withColumn("coverage", F.col("closed") / F.col("total"))
-    role, level = F.get(F.split("target_id", ":"), F.lit(1)), F.get(F.split("target_id", ":"), F.lit(2))
-    fits = F.when(F.array_contains("roles", role), 1.0).otherwise(0.35)
+    return h.withColumn("of_role", F.array_contains("roles", part(1))).withColumn("of_company", F.array_contains("companies", part(0))).withColumn("level", part(2))
+
+
+def rank_projects(matches: DataFrame, projects: DataFrame, ontology: DataFrame, top: int = 6) -> DataFrame:
+    """The projects that close the most of a pair's gaps: coverage, role, company, difficulty and emerging skills; ties by catalogue order."""
+    h = _closing(matches, projects, ontology)
+    yes = lambda c, otherwise: F.when(F.col(c), 1.0).otherwise(otherwise)
     table = F.create_map(*[F.lit(x) for p in DIFFICULTY.items() for x in p])
-    hard = F.coalesce(F.try_element_at(table, F.concat_ws("/", level, "difficulty")), F.lit(0.6))
-    h = h.withColumn("fit", F.round(F.least(F.lit(1.0), 0.55 * F.least(F.lit(1.0), 2.5 * F.col("coverage")) + 0.15 * fits + 0.12 * hard), 6))
-    h = h.withColumn("priority", F.when(F.col("high"), "high").when(F.col("coverage") > 0.08, "medium").otherwise("low"))
+    hard = F.coalesce(F.try_element_at(table, F.concat_ws("/", "level", "difficulty")), F.lit(0.6))
+    fit = 0.55 * F.least(F.lit(1.0), 2.5 * F.col("coverage")) + 0.15 * yes("of_role", 0.35) + 0.10 * yes("of_company", 0.4) + 0.12 * hard + 0.08 * yes("emerging", 0.3)
+    h = h.withColumn("fit", F.round(F.least(F.lit(1.0), fit) + 1e-9, 6)).withColumn("priority", F.when(F.col("high"), "high").when(F.col("coverage") > 0.08, "medium").otherwise("low"))
     w = W.partitionBy(*PAIR).orderBy(F.desc(rank_of("priority", PRIORITIES)), F.desc("fit"), "p_ord")
-    return h.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(*PAIR, F.col("rank").cast("bigint").alias("rank"), "project_id", "fit", "priority", "n_closed")
+    why = F.when(F.size("high_names") > 0, F.concat(F.lit("blocking: "), F.array_join("high_names", ", "))).otherwise(F.concat(F.lit("closes: "), F.array_join(F.slice("names", 1, 4), ", ")))
+    return h.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(*PAIR, F.col("rank").cast("bigint").alias("rank"), "project_id", "fit", "priority", "n_closed", F.col("weeks").cast("bigint").alias("weeks"), why.alias("rationale"))
+
+
+def recommend_alone(matches: DataFrame, projects: DataFrame, ontology: DataFrame, top: int = 6) -> DataFrame:
+    """The recommender that stands alone: coverage, role and company only, sorted by the rounded fit."""
+    h = _closing(matches, projects, ontology)
+    yes = lambda c, otherwise: F.when(F.col(c), 1.0).otherwise(otherwise)
+    h = h.withColumn("fit", F.round(0.6 * F.col("coverage") + 0.25 * yes("of_role", 0.4) + 0.15 * yes("of_company", 0.4) + 1e-9, 3))
+    h = h.withColumn("rank", F.row_number().over(W.partitionBy(*PAIR).orderBy(F.desc("fit"), "p_ord"))).where(F.col("rank") <= top)
+    return h.select(*PAIR, F.col("rank").cast("bigint").alias("rank"), "project_id", "fit", F.when(F.col("fit") >= 0.5, "high").otherwise("medium").alias("priority"))
 
 
 # How well a difficulty suits a level.

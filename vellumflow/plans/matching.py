@@ -13,17 +13,22 @@ from vellumflow.plans import parsing
 from vellumflow.plans import sqltwin as Q
 from vellumflow.sources.tables import checkpointed, table
 
-# An own small catalogue: (project_id, difficulty, roles, teaches).
+# An own small catalogue: (project_id, difficulty, roles, companies, weeks, teaches).
 PROJECTS = [
-    ("stream-gauge", "Intermediate", ["data-engineer", "platform-engineer"], ["Stream Processing", "Riverbed Streams", "Data Quality"]),
-    ("ledger-api", "Beginner", ["backend-developer", "qa-engineer"], ["REST APIs", "Unit Testing", "SQL"]),
-    ("vision-bench", "Advanced", ["ml-engineer"], ["Computer Vision", "Deep Learning", "Model Evaluation"]),
-    ("card-board", "Beginner", ["frontend-developer"], ["Renderly", "Responsive Design", "Web Accessibility"]),
-    ("guard-rail", "Intermediate", ["security-engineer"], ["Threat Modelling", "Access Control", "Secure Coding"]),
-    ("cost-lens", "Intermediate", ["cloud-engineer", "platform-engineer"], ["Cost Optimisation", "Monitoring", "Autoscaling"]),
-    ("trial-desk", "Intermediate", ["data-analyst", "product-analyst"], ["A/B Testing", "Statistics", "Dashboard Design"]),
-    ("pipe-forge", "Advanced", ["data-engineer", "cloud-engineer"], ["Infrastructure as Code", "CI/CD", "Containers", "Granary"]),
+    ("stream-gauge", "Intermediate", ["data-engineer", "platform-engineer"], ["cindervale"], 6, ["Stream Processing", "Riverbed Streams", "Data Quality"]),
+    ("ledger-api", "Beginner", ["backend-developer", "qa-engineer"], ["northloom", "paleridge"], 3, ["REST APIs", "Unit Testing", "SQL"]),
+    ("vision-bench", "Advanced", ["ml-engineer"], ["lattermoor"], 9, ["Computer Vision", "Deep Learning", "Model Evaluation"]),
+    ("card-board", "Beginner", ["frontend-developer"], [], 3, ["Renderly", "Responsive Design", "Web Accessibility"]),
+    ("guard-rail", "Intermediate", ["security-engineer"], ["paleridge"], 5, ["Threat Modelling", "Access Control", "Secure Coding"]),
+    ("cost-lens", "Intermediate", ["cloud-engineer", "platform-engineer"], ["northloom"], 5, ["Cost Optimisation", "Monitoring", "Autoscaling"]),
+    ("trial-desk", "Intermediate", ["data-analyst", "product-analyst"], ["lattermoor"], 4, ["A/B Testing", "Statistics", "Dashboard Design"]),
+    ("pipe-forge", "Advanced", ["data-engineer", "cloud-engineer"], ["cindervale"], 8, ["Infrastructure as Code", "CI/CD", "Containers", "Granary"]),
 ]
+_CATALOGUE = "project_id string, p_ord int, difficulty string, roles array<string>, companies array<string>, weeks int, teaches array<string>"
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, n, *rest) for n, (i, *rest) in enumerate(PROJECTS)], _CATALOGUE)
 
 
 def _ontology(spark, sf_dir) -> DataFrame:
@@ -104,19 +109,24 @@ def learn_plan(spark, sf_dir):
 
 
 def roadmap_phases(spark, sf_dir):
-    """REC-6, 7: phases with their weeks."""
-    return M.roadmap(_matches(spark, sf_dir), _ontology(spark, sf_dir))
+    """REC-6, 7, 10: phases with their weeks, in words too."""
+    m, o = _matches(spark, sf_dir), _ontology(spark, sf_dir)
+    return M.roadmap(m, o, M.rank_projects(m, catalogue(spark), o)).withColumn("duration", M.duration(F.col("weeks")))
 
 
 def score_projection(spark, sf_dir):
-    """REC-8, 11: scores after closing gaps."""
+    """REC-8: the skills score after closing gaps."""
     return M.projection(_matches(spark, sf_dir))
 
 
 def project_rank(spark, sf_dir):
-    """REC-1..4, JN-7: the projects that close the most."""
-    p = spark.createDataFrame([(i, n, d, r, t) for n, (i, d, r, t) in enumerate(PROJECTS)], "project_id string, p_ord int, difficulty string, roles array<string>, teaches array<string>")
-    return M.rank_projects(_matches(spark, sf_dir), p)
+    """REC-1..4, JN-7, CPL-7, 8: the projects that close the most, and why."""
+    return M.rank_projects(_matches(spark, sf_dir), catalogue(spark), _ontology(spark, sf_dir))
+
+
+def projects_alone(spark, sf_dir):
+    """REC-5: the recommender that stands alone."""
+    return M.recommend_alone(_matches(spark, sf_dir), catalogue(spark), _ontology(spark, sf_dir))
 
 
 def ref_integrity(spark, sf_dir):
@@ -151,9 +161,19 @@ _EDGES = "ed AS (SELECT skill AS src, unnest(related) AS dst, unnest(range(0, le
 _PRI = "CASE priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _CLAMP = "round(greatest(0, least(100, {x})), 4)"
 
+_CLOSING = f"""pj AS (SELECT * FROM {Q.values([(i, n, *rest) for n, (i, *rest) in enumerate(PROJECTS)], 'project_id, p_ord, difficulty, roles, companies, weeks, teaches')}),
+  g AS (SELECT *, importance * CASE WHEN status = 'missing' THEN 1.0 ELSE 0.4 END AS weight FROM m WHERE status <> 'matched'), tt AS (SELECT doc_id, target_id, sum(weight) AS total FROM g GROUP BY ALL),
+  tu AS (SELECT pt.*, emerging FROM (SELECT * EXCLUDE (teaches), unnest(teaches) AS skill FROM pj) pt LEFT JOIN (SELECT skill, emerging FROM ontology) USING (skill)),
+  h AS (SELECT doc_id, target_id, project_id, p_ord, difficulty, roles, companies, weeks, sum(weight) AS closed, count(*) AS n_closed, bool_or(priority = 'high' AND status = 'missing') AS high, bool_or(coalesce(emerging, false)) AS em,
+    coalesce(list(skill ORDER BY ord) FILTER (priority = 'high' AND status = 'missing'), []) AS hn, list(skill ORDER BY ord) AS nn FROM g JOIN tu USING (skill) GROUP BY ALL),
+  hx AS (SELECT *, closed / total AS cov, list_contains(roles, split_part(target_id, ':', 2)) AS of_role, list_contains(companies, split_part(target_id, ':', 1)) AS of_company FROM h JOIN tt USING (doc_id, target_id))"""
+_RANKED = f"""f AS (SELECT *, round(least(1, 0.55 * least(1, 2.5 * cov) + 0.15 * CASE WHEN of_role THEN 1 ELSE 0.35 END + 0.10 * CASE WHEN of_company THEN 1 ELSE 0.4 END + 0.12 * CASE split_part(target_id, ':', 3) || '/' || difficulty {' '.join(f"WHEN '{k}' THEN {v}" for k, v in M.DIFFICULTY.items())} ELSE 0.6 END
+    + 0.08 * CASE WHEN em THEN 1 ELSE 0.3 END) + 1e-9, 6)::DOUBLE AS fit, CASE WHEN high THEN 'high' WHEN cov > 0.08 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN len(hn) > 0 THEN 'blocking: ' || array_to_string(hn, ', ') ELSE 'closes: ' || array_to_string(nn[1:4], ', ') END AS rationale FROM hx),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY {_PRI} DESC, fit DESC, p_ord) AS rank FROM f)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (skill_evidence, skill_profile, related_skills, alias_canonical, resolve_credit, extra_skills, skills_component, required_coverage, radar_by_category, gap_buckets, learn_plan, roadmap_phases, score_projection, project_rank, ref_integrity)
+    for f in (skill_evidence, skill_profile, related_skills, alias_canonical, resolve_credit, extra_skills, skills_component, required_coverage, radar_by_category, gap_buckets, learn_plan, roadmap_phases, score_projection, project_rank, projects_alone, ref_integrity)
 }
 SQL = {
     "skill_evidence": f"WITH {_EV} SELECT * FROM ev",
@@ -179,19 +199,17 @@ SQL = {
     "learn_plan": f"""WITH {_M}, g AS (SELECT m.*, CASE WHEN status = 'partial' THEN 1 ELSE coalesce(learn_weeks, 4) END AS weeks FROM m LEFT JOIN ontology USING (skill) WHERE status IN ('missing', 'partial') AND skill IS NOT NULL),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY {_PRI} DESC, importance DESC, weeks, ord) AS rank FROM g)
       SELECT doc_id, target_id, rank, skill, weeks::BIGINT AS weeks, (sum(weeks) OVER (PARTITION BY doc_id, target_id ORDER BY rank ROWS UNBOUNDED PRECEDING))::BIGINT AS week_total FROM r WHERE rank <= 12""",
-    "roadmap_phases": f"""WITH {_M}, g AS (SELECT m.*, CASE WHEN status = 'partial' THEN 1 WHEN status = 'missing' AND priority = 'high' THEN 2 WHEN status = 'missing' AND coalesce(emerging, false) THEN 4 WHEN status = 'missing' THEN 3 END AS phase, coalesce(learn_weeks, 4) AS lw FROM m LEFT JOIN ontology USING (skill) WHERE skill IS NOT NULL),
-      r AS (SELECT *, CASE WHEN phase = 1 THEN 1 ELSE lw END AS weeks, row_number() OVER (PARTITION BY doc_id, target_id, phase ORDER BY importance DESC, ord) AS rn FROM g WHERE phase IS NOT NULL),
-      p AS (SELECT doc_id, target_id, phase, floor(max(weeks) + 0.5 * (sum(weeks) - max(weeks)))::BIGINT AS weeks, count(*) AS n_skills FROM r WHERE rn <= CASE phase WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 3 END GROUP BY ALL)
-      SELECT doc_id, target_id, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY phase) AS number, phase::BIGINT AS phase, weeks, n_skills FROM p""",
+    "roadmap_phases": f"""WITH {_M}, {_CLOSING}, {_RANKED}, g0 AS (SELECT m.*, CASE WHEN status = 'partial' THEN 1 WHEN status = 'missing' AND priority = 'high' THEN 2 WHEN status = 'missing' AND coalesce(emerging, false) THEN 5 WHEN status = 'missing' THEN 4 END AS phase, coalesce(learn_weeks, 4) AS lw FROM m LEFT JOIN ontology USING (skill) WHERE skill IS NOT NULL),
+      r AS (SELECT *, CASE WHEN phase = 1 THEN 1 ELSE lw END AS weeks, row_number() OVER (PARTITION BY doc_id, target_id, phase ORDER BY importance DESC, ord) AS rn FROM g0 WHERE phase IS NOT NULL),
+      i AS (SELECT doc_id, target_id, phase, weeks FROM r WHERE rn <= CASE phase WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 4 THEN 5 ELSE 3 END UNION ALL SELECT doc_id, target_id, 3, weeks FROM rk WHERE rank <= 2),
+      p AS (SELECT doc_id, target_id, phase, floor(max(weeks) + 0.5 * (sum(weeks) - max(weeks)))::BIGINT AS weeks, count(*) AS n_items FROM i GROUP BY ALL)
+      SELECT doc_id, target_id, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY phase) AS number, phase::BIGINT AS phase, weeks, n_items, CASE WHEN weeks < 8 THEN weeks || ' weeks' ELSE 'about ' || round(weeks / 4.345)::INT || ' months' END AS duration FROM p""",
     "score_projection": f"""WITH {_M}, x AS (SELECT *, coalesce(credit, 0) AS c0, CASE WHEN status = 'partial' THEN 1 ELSE coalesce(credit, 0) END AS c1 FROM m)
       SELECT doc_id, target_id, {_CLAMP.format(x='100 * sum(importance * c0) / sum(importance)')} AS score_now, {_CLAMP.format(x='100 * sum(importance * c1) / sum(importance)')} AS score_shown,
       {_CLAMP.format(x="100 * sum(importance * CASE WHEN status = 'missing' AND priority = 'high' THEN 1 ELSE c1 END) / sum(importance)")} AS score_closed FROM x GROUP BY ALL""",
-    "project_rank": f"""WITH {_M}, pj AS (SELECT * FROM {Q.values([(i, n, d, r, t) for n, (i, d, r, t) in enumerate(PROJECTS)], 'project_id, p_ord, difficulty, roles, teaches')}),
-      g AS (SELECT *, importance * CASE WHEN status = 'missing' THEN 1.0 ELSE 0.4 END AS weight FROM m WHERE status <> 'matched'), tt AS (SELECT doc_id, target_id, sum(weight) AS total FROM g GROUP BY ALL),
-      h AS (SELECT doc_id, target_id, project_id, p_ord, difficulty, roles, sum(weight) AS closed, count(*) AS n_closed, bool_or(priority = 'high' AND status = 'missing') AS high FROM g JOIN (SELECT * EXCLUDE (teaches), unnest(teaches) AS skill FROM pj) USING (skill) GROUP BY ALL),
-      f AS (SELECT *, closed / total AS cov, round(least(1, 0.55 * least(1, 2.5 * closed / total) + 0.15 * CASE WHEN list_contains(roles, split_part(target_id, ':', 2)) THEN 1 ELSE 0.35 END + 0.12 * CASE split_part(target_id, ':', 3) || '/' || difficulty {' '.join(f"WHEN '{k}' THEN {v}" for k, v in M.DIFFICULTY.items())} ELSE 0.6 END), 6) AS fit FROM h JOIN tt USING (doc_id, target_id)),
-      p AS (SELECT *, CASE WHEN high THEN 'high' WHEN cov > 0.08 THEN 'medium' ELSE 'low' END AS priority FROM f)
-      SELECT * FROM (SELECT doc_id, target_id, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY {_PRI} DESC, fit DESC, p_ord) AS rank, project_id, fit::DOUBLE AS fit, priority, n_closed FROM p) WHERE rank <= 6""",
+    "project_rank": f"WITH {_M}, {_CLOSING}, {_RANKED} SELECT doc_id, target_id, rank, project_id, fit, priority, n_closed, weeks::BIGINT AS weeks, rationale FROM rk WHERE rank <= 6",
+    "projects_alone": f"""WITH {_M}, {_CLOSING}, a AS (SELECT *, round(0.6 * cov + 0.25 * CASE WHEN of_role THEN 1 ELSE 0.4 END + 0.15 * CASE WHEN of_company THEN 1 ELSE 0.4 END + 1e-9, 3)::DOUBLE AS fit FROM hx)
+      SELECT doc_id, target_id, rank, project_id, fit, CASE WHEN fit >= 0.5 THEN 'high' ELSE 'medium' END AS priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target_id ORDER BY fit DESC, p_ord) AS rank FROM a) WHERE rank <= 6""",
     "ref_integrity": f"""WITH {_M}, b AS (SELECT 'related' AS origin, unnest(related) AS skill FROM ontology UNION ALL SELECT 'match', skill FROM m WHERE skill <> '')
       SELECT origin, count(*) AS n_all, count(*) FILTER (skill NOT IN (SELECT skill FROM ontology)) AS n_lost, count(DISTINCT CASE WHEN skill NOT IN (SELECT skill FROM ontology) THEN skill END) AS n_names FROM b GROUP BY ALL""",
 }
