@@ -102,6 +102,13 @@ def stripped_line(line: Column) -> Column:
     return F.when(~(F.trim(t).isin("-", "-.", "") & (F.trim(line) != "")), t)
 
 
+def escaped(t: Column) -> Column:
+    """A text as it must stand in a page."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        t = F.replace(t, F.lit(sign), F.lit(name))
+    return t
+
+
 def safe_file_name(name: Column, extension: str) -> Column:
     t = F.regexp_replace(F.trim(F.regexp_replace(name, r"[^A-Za-z0-9 _.-]", "")), "[ \t]+", "_")
     t = F.when(t == "", "document").otherwise(F.substring(t, 1, 80))

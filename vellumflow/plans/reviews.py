@@ -92,9 +92,9 @@ def _pair_counts(spark, sf_dir) -> DataFrame:
     )
 
 
-def pair_quality_scores(spark, sf_dir):
+def pair_quality_scores(spark, sf_dir, wide=None):
     """ATS-0, 13..15: scores of families and of the whole over all sixteen checks of each pair."""
-    w = scores.wide(spark, sf_dir).select("doc_id", "target_id", "coverage")
+    w = (wide or scores.wide(spark, sf_dir)).select("doc_id", "target_id", "coverage")
     keys = ["doc_id", "target_id"]
     own = U.target_checks(w.join(_pair_counts(spark, sf_dir), keys), keys)
     base = U.checks(_features(spark, sf_dir), "resume_id").withColumnRenamed("resume_id", "doc_id")
@@ -102,7 +102,7 @@ def pair_quality_scores(spark, sf_dir):
     return U.totals(every, keys).withColumn("band", U.band(F.round("score", 1)))
 
 
-def _section_features(spark, sf_dir) -> DataFrame:
+def _section_features(spark, sf_dir, wide=None) -> DataFrame:
     keys = ["doc_id", "target_id"]
     lines = parsing._lines(spark, sf_dir).where("section in ('summary', 'skills')")
     block = lambda s: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("pos", "line")))), lambda x: x["line"]), "\n"), F.lit(" \t\n"))
@@ -117,7 +117,7 @@ def _section_features(spark, sf_dir) -> DataFrame:
         F.count_if(of("education") & filled("degree")).alias("n_degree"), F.count_if(of("education") & filled("grad_year")).alias("n_year"),
     )
     terms = table(spark, sf_dir, "parsed_resume").groupBy("doc_id").agg(F.max(F.coalesce(F.size("skill_section_terms"), F.lit(0))).alias("n_terms"))
-    x = scores.wide(spark, sf_dir).select(*keys, "relevance", "n_jobs", "job_bullets", "job_measured", "n_projects", "project_bullets", "projects_measured", "n_education", "technical", "certs")
+    x = (wide or scores.wide(spark, sf_dir)).select(*keys, "relevance", "n_jobs", "job_bullets", "job_measured", "n_projects", "project_bullets", "projects_measured", "n_education", "technical", "certs")
     x = x.join(_pair_counts(spark, sf_dir), keys)
     for other in (blocks, e, terms):
         x = x.join(other, "doc_id", "left")
@@ -135,10 +135,10 @@ def section_checks(spark, sf_dir):
     return c.select("doc_id", "target_id", "section", "check_id", r.alias("ratio"), F.when(r >= 0.8, "pass").when(r >= 0.4, "warn").otherwise("fail").alias("status"))
 
 
-def section_scores(spark, sf_dir):
+def section_scores(spark, sf_dir, wide=None):
     """SEC-0: score, verdict and weakest check of the five sections of each pair, and their mean."""
     keys = ["doc_id", "target_id"]
-    return U.section_totals(U.section_checks(_section_features(spark, sf_dir), keys).withColumn("ratio", F.round("ratio", 9)), keys)
+    return U.section_totals(U.section_checks(_section_features(spark, sf_dir, wide), keys).withColumn("ratio", F.round("ratio", 9)), keys)
 
 
 def bullet_weakness(spark, sf_dir):

@@ -108,10 +108,10 @@ def projected_overall(spark, sf_dir):
     return x.select(*PAIR, of("score_now").alias("now"), of("score_shown").alias("shown"), of("score_closed").alias("closed"))
 
 
-def fit_verdicts(spark, sf_dir):
+def fit_verdicts(spark, sf_dir, wide_rows=None):
     """FIT-1..8: the five checks, the verdict, its confidence, headline, strengths and next step of each pair, against what postings of the role state."""
     m = matching._matches(spark, sf_dir)
-    w = wide(spark, sf_dir)
+    w = wide_rows or wide(spark, sf_dir)
     g = m.groupBy(*PAIR).agg(
         F.count_if((F.col("status") == "missing") & (F.col("priority") == "high")).alias("n_blocking"),
         F.slice(F.transform(F.array_sort(F.collect_list(F.when((F.col("tier") == "required") & (F.col("status") == "matched") & F.col("skill").isNotNull(), F.struct("ord", "skill")))), lambda x: x["skill"]), 1, 6).alias("shown"),
