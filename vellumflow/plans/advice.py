@@ -312,7 +312,7 @@ SQL = {
       UNION ALL SELECT doc_id, target_id, 'education', 'caution', 'honest-gap', '' FROM u WHERE n_education > 0 AND certs = 0 AND split_part(target_id, ':', 1) IN {Q.listed(CERTIFYING)}
       UNION ALL SELECT u.doc_id, target_id, 'projects', 'rewrite', tags, entry::VARCHAR FROM u JOIN pe USING (doc_id) WHERE r <= 5 AND tags <> ''""",
     "priority_actions": f"""WITH aq AS ({_PAIR_TOTALS}), kq AS ({scores.SQL['keyword_lists']}), {scores._WIDE}, {reviews._PC}, gp AS (SELECT doc_id, target_id, {_listed("status = 'missing' AND priority = 'high' AND skill IS NOT NULL", 5)} AS gaps FROM m GROUP BY ALL),
-      x AS (SELECT wd.doc_id, wd.target_id, measured_share, job_bullets + all_bullets AS nb, failures, n_declared, gaps, [y FOR y IN string_split(coalesce(missing, ''), '|') IF y <> ''][1:4] AS ws FROM wd JOIN aq ON aq.doc_id = wd.doc_id AND aq.target_id = wd.target_id AND aq.family = 'all' JOIN pc USING (doc_id, target_id) JOIN gp USING (doc_id, target_id) LEFT JOIN kq USING (doc_id, target_id)),
+      x AS (SELECT doc_id, target_id, measured_share, job_bullets + all_bullets AS nb, failures, n_declared, gaps, [y FOR y IN string_split(coalesce(missing, ''), '|') IF y <> ''][1:4] AS ws FROM wd JOIN (SELECT * FROM aq WHERE family = 'all') USING (doc_id, target_id) JOIN pc USING (doc_id, target_id) JOIN gp USING (doc_id, target_id) LEFT JOIN kq USING (doc_id, target_id)),
       ra AS (SELECT doc_id, target_id, list_concat([{{'p': 'high', 'k': 'ats', 'd': y}} FOR y IN [z FOR z IN string_split(failures, '|') IF z <> ''][1:3]], [y FOR y IN [CASE WHEN n_declared > 0 THEN {{'p': 'high', 'k': 'presentation', 'd': n_declared::VARCHAR}} END, CASE WHEN len(gaps) > 0 THEN {{'p': 'high', 'k': 'learning', 'd': array_to_string(gaps, ', ')}} END,
         CASE WHEN nb > 0 AND measured_share < 0.4 THEN {{'p': 'medium', 'k': 'content', 'd': ''}} END, CASE WHEN len(ws) > 0 THEN {{'p': 'medium', 'k': 'keywords', 'd': array_to_string(ws, ', ')}} END] IF y IS NOT NULL]) AS rs FROM x)
       SELECT doc_id, target_id, ord, a.p AS priority, a.k AS kind, a.d AS detail FROM (SELECT doc_id, target_id, unnest(range(0, len(rs))) AS ord, unnest(rs) AS a FROM ra)""",

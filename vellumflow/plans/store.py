@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumflow.operators import rebuild as B
-from vellumflow.plans import matching, parsing
+from vellumflow.operators import requirements as R
+from vellumflow.plans import matching, parsing, targets
 from vellumflow.plans import sqltwin as Q
 from vellumflow.sources.files import upload_problem
 from vellumflow.sources.tables import table
@@ -15,7 +16,7 @@ FORMATS = ("pdf", "docx", "txt")
 
 
 def upsert_latest(spark, sf_dir):
-    """SNK-3: every résumé's last delivery merged over its first."""
+    """SNK-3 over a table itself: every résumé's last delivery merged over its first."""
     r = table(spark, sf_dir, "resumes").select("resume_id", "loaded_at", "word_count", "file_type")
     first = r.groupBy("resume_id").agg(F.min_by(F.struct("word_count", "file_type"), "loaded_at").alias("a"), F.min("loaded_at").alias("t0"))
     last = r.groupBy("resume_id").agg(F.max_by(F.struct("word_count", "file_type"), "loaded_at").alias("b"), F.max("loaded_at").alias("t1"), F.count(F.lit(1)).alias("n"))
@@ -24,17 +25,20 @@ def upsert_latest(spark, sf_dir):
 
 
 def unseen_targets(spark, sf_dir):
-    """SNK-4, JN-9: targets of analyses for which no requirement rows are stored."""
+    """SNK-4: targets of analyses and of the composed requirements for which no requirement rows are stored, with how often they are asked for."""
     a = table(spark, sf_dir, "resume_analyses").select(F.concat_ws(":", "company_slug", "role_slug", "seniority").alias("target_id"), "analysis_id").distinct()
+    composed = R.compose(*targets.reference(spark)).select("target_id", F.lit(None).cast("bigint").alias("analysis_id")).distinct()
     known = table(spark, sf_dir, "skill_match").select("target_id").distinct()
-    return a.join(known, "target_id", "left_anti").groupBy("target_id").agg(F.count_distinct("analysis_id").alias("n_analyses"))
+    return a.unionByName(composed).join(known, "target_id", "left_anti").groupBy("target_id").agg(F.count_distinct("analysis_id").alias("n_analyses"))
 
 
 def cascade_delete(spark, sf_dir):
-    """SNK-5: what is left by origin once short résumés are deleted with their analyses."""
-    gone = table(spark, sf_dir, "resumes").where("word_count < 150").select("resume_id").distinct()
-    left = table(spark, sf_dir, "resume_analyses").select("analysis_id", "resume_id", "origin").distinct().join(gone, "resume_id", "left_anti")
-    return left.groupBy("origin").agg(F.count(F.lit(1)).alias("n_analyses"), F.count_distinct("resume_id").alias("n_resumes"))
+    """SNK-5: the résumés and analyses that are left once short résumés are deleted with their analyses."""
+    r = table(spark, sf_dir, "resumes")
+    gone = r.where("word_count < 150").select("resume_id").distinct()
+    parents = r.select(F.lit("resume").alias("kind"), "resume_id", F.col("resume_id").alias("id")).distinct()
+    children = table(spark, sf_dir, "resume_analyses").select(F.lit("analysis").alias("kind"), "resume_id", F.col("analysis_id").alias("id")).distinct()
+    return parents.unionByName(children).join(gone, "resume_id", "left_anti").select("kind", "id", "resume_id")
 
 
 def recent_reports(spark, sf_dir):
@@ -44,7 +48,7 @@ def recent_reports(spark, sf_dir):
 
 
 def catalog_search(spark, sf_dir):
-    """QRY-2, 3: skills of any category whose name or an alias holds the words, with their aliases."""
+    """QRY-2: skills of any category whose name or an alias holds the words, with their aliases."""
     o = table(spark, sf_dir, "ontology")
     hit = F.contains(F.lower("skill"), F.lit("data")) | F.exists("aliases", lambda a: F.contains(F.lower(a), F.lit("data")))
     return o.where(hit).select("skill_id", "skill", "category", F.array_join("aliases", ", ").alias("aliases"), F.size("related").cast("bigint").alias("n_related"))
@@ -61,7 +65,7 @@ def health_counts(spark, sf_dir):
 
 
 def upload_checks(spark, sf_dir):
-    """SRC-2, 6, 7: why uploads would be refused."""
+    """SRC-6: why uploads would be refused."""
     r = table(spark, sf_dir, "resumes").select("resume_id", "file_name", "raw_text").distinct()
     return r.select("resume_id", F.coalesce(upload_problem(F.col("file_name"), F.length(F.coalesce("raw_text", F.lit(""))), FORMATS, 2500), F.lit("")).alias("problem"))
 
@@ -103,8 +107,9 @@ _TABLES = {"ontology": "skill_id", "resumes": "resume_id", "parsed_resume": "doc
 QUERIES = {f.__name__: f for f in (upsert_latest, unseen_targets, cascade_delete, recent_reports, catalog_search, health_counts, upload_checks, multi_column, lateness, merged_gaps, target_totals, rebuild_loop)}
 SQL = {
     "upsert_latest": """SELECT resume_id, arg_max(word_count, loaded_at)::BIGINT AS words, arg_max(file_type, loaded_at) AS file_type, strftime(max(loaded_at), '%Y-%m-%d') AS loaded, count(*) AS n_deliveries FROM resumes GROUP BY ALL""",
-    "unseen_targets": "SELECT company_slug || ':' || role_slug || ':' || seniority AS target_id, count(DISTINCT analysis_id) AS n_analyses FROM resume_analyses WHERE company_slug || ':' || role_slug || ':' || seniority NOT IN (SELECT target_id FROM skill_match WHERE target_id IS NOT NULL) GROUP BY ALL",
-    "cascade_delete": "SELECT origin, count(*) AS n_analyses, count(DISTINCT resume_id) AS n_resumes FROM (SELECT DISTINCT analysis_id, resume_id, origin FROM resume_analyses) WHERE resume_id NOT IN (SELECT resume_id FROM resumes WHERE word_count < 150) GROUP BY ALL",
+    "unseen_targets": f"""WITH {targets._COMPOSED}, a AS (SELECT company_slug || ':' || role_slug || ':' || seniority AS target_id, analysis_id FROM resume_analyses UNION ALL SELECT DISTINCT target_id, NULL FROM co)
+      SELECT target_id, count(DISTINCT analysis_id) AS n_analyses FROM a WHERE target_id NOT IN (SELECT target_id FROM skill_match WHERE target_id IS NOT NULL) GROUP BY ALL""",
+    "cascade_delete": """SELECT * FROM (SELECT DISTINCT 'resume' AS kind, resume_id AS id, resume_id FROM resumes UNION ALL SELECT DISTINCT 'analysis', analysis_id, resume_id FROM resume_analyses) x WHERE NOT EXISTS (SELECT 1 FROM resumes r WHERE r.resume_id = x.resume_id AND word_count < 150)""",
     "recent_reports": "SELECT analysis_id, resume_id, company_slug, role_slug, overall_score, band FROM (SELECT DISTINCT analysis_id, resume_id, company_slug, role_slug, overall_score, band, created_at FROM resume_analyses) ORDER BY created_at DESC, analysis_id LIMIT 20",
     "catalog_search": "SELECT skill_id, skill, category, array_to_string(aliases, ', ') AS aliases, len(related) AS n_related FROM ontology WHERE contains(lower(skill), 'data') OR len([a FOR a IN aliases IF contains(lower(a), 'data')]) > 0",
     "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, count(DISTINCT {k}) AS n_keys FROM {t}" for t, k in _TABLES.items()),

@@ -41,12 +41,12 @@ def reference(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, Dat
 
 
 def compose_targets(spark, sf_dir):
-    """CMP-2..9, 11: requirement rows of every company, role and level."""
+    """CMP-2..7, 9, 11, JN-11: requirement rows of every company, role and level."""
     return R.compose(*reference(spark))
 
 
 def posted_targets(spark, sf_dir):
-    """JD-14, CMP-13: each analysis's target with the skills its résumé matches, fused with the composed ones of the same role."""
+    """JD-14: each analysis's target with the skills its résumé matches, fused with the composed ones of the same role."""
     m = table(spark, sf_dir, "skill_match").select("target_id", "skill", "importance", "tier").where("skill <> '' and target_id is not null")
     posted = m.groupBy("target_id", F.lower("skill").alias("low")).agg(F.max(F.struct("importance", "skill", "tier")).alias("x")).select("target_id", "x.skill", F.round("x.importance", 3).alias("importance"), "x.tier")
     fused = R.fuse(R.compose(*reference(spark)), posted)
@@ -64,7 +64,7 @@ def domain_gate(spark, sf_dir):
 
 
 def posting_blocks(spark, sf_dir):
-    """JD-4, 8: lines and bullets of each block of each text."""
+    """JD-4: lines and bullets of each block of each text."""
     return J.blocks(_postings(spark, sf_dir), "doc_id", "text").groupBy("doc_id", F.col("section").alias("block")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("is_bullet").alias("n_bullets"))
 
 
@@ -75,7 +75,7 @@ def posting_requirements(spark, sf_dir):
 
 
 def posting_facts(spark, sf_dir):
-    """JD-1, 9..12: length gate, level, organisation, role and degree of each text."""
+    """JD-1, 9: length gate, level, guessed organisation and role, and degree of each text."""
     t = F.col("text")
     n = F.size(F.filter(F.split(t, "[ \t\r\n]+"), lambda w: w != ""))
     return _postings(spark, sf_dir).select("doc_id", n.cast("bigint").alias("n_words"), (n >= 30).alias("long_enough"), J.level(t).alias("level"), J.organisation(t).alias("organisation"), J.role(t).alias("role"), J.degree(t).alias("degree"), T.years_claimed(t).alias("years"))
