@@ -28,28 +28,27 @@ def resolve(requirements: DataFrame, found: DataFrame, edges: DataFrame) -> Data
     """requirements (doc_id, target_id, ord, skill) with status, credit and via.
 
     Direct evidence first; for what it leaves, the first applied skill that the requirement's entry lists as related, then
-    the surest applied skill whose entry lists the requirement. Every requirement asks for itself and for its related
-    skills, in that order (`step`, `edge`); one join with the evidence answers all of them, and one aggregate takes the best.
+    the surest applied skill whose entry lists the requirement. A document's evidence is one map (as large as the reference
+    list at most), so that one join by document answers all three and nothing is exploded or grouped again.
     """
-    low = F.lower("skill")
-    keys = [*PAIR, "ord", "skill"]
-    ahead = bounded(edges.groupBy(F.lower("src").alias("low")).agg(F.collect_list(F.struct(F.lit(1).alias("step"), F.col("ord").alias("edge"), F.col("dst").alias("want"))).alias("ahead")))
-    back = bounded(edges.groupBy(F.col("dst").alias("__dst")).agg(F.collect_list(F.struct(F.lit(2).alias("step"), F.lit(0).alias("edge"), F.col("src").alias("want"))).alias("back")))
-    none = F.array().cast("array<struct<step:int,edge:int,want:string>>")
-    asked = requirements.withColumn("low", low).join(ahead, "low", "left").join(back, F.col("skill") == F.col("__dst"), "left")
-    itself = F.array(F.struct(F.lit(0).alias("step"), F.lit(0).alias("edge"), F.col("low").alias("want")))
-    asked = asked.select(*keys, F.inline(F.concat(itself, F.coalesce("ahead", none), F.coalesce("back", none))))
-    have = found.select("doc_id", F.lit(True).alias("direct"), F.lower("skill").alias("want"), F.col("skill").alias("have"), "applied", "declared_only", "confidence", "mentions")
-    work = found.where("applied").select("doc_id", F.lit(False).alias("direct"), F.col("skill").alias("want"), F.col("skill").alias("have"), "applied", "declared_only", "confidence", "mentions")
-    hits = asked.withColumn("direct", F.col("step") == 0).join(have.unionByName(work), ["doc_id", "direct", "want"], "left").where("have is not null or step = 0")
-    order = F.struct(F.col("have").isNull(), "step", "edge", F.when(F.col("step") == 2, -F.col("confidence")).otherwise(0.0), F.when(F.col("step") == 2, -F.col("mentions")).otherwise(0), "have")
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct("have", "step", "applied", "declared_only"), order).alias("x"))
-    has, direct = F.col("x.have").isNotNull(), F.col("x.step") == 0
-    return best.select(
-        *keys,
-        F.when(~has, "missing").when(~direct, "partial").when(F.col("x.applied") | ~F.col("x.declared_only"), "matched").otherwise("partial").alias("status"),
-        F.when(~has, 0.0).when(~direct, RELATED_CREDIT).when(F.col("x.applied"), APPLIED_CREDIT).otherwise(NAMED_CREDIT).alias("credit"),
-        F.when(has & ~direct, F.col("x.have")).otherwise("").alias("via"),
+    payload = F.struct("skill", "applied", "declared_only", "confidence", "mentions")
+    listed = F.array_sort(F.collect_list(F.struct(F.lower("skill").alias("low"), payload.alias("x"))))
+    have = found.groupBy("doc_id").agg(listed.alias("e"))
+    have = have.select("doc_id", F.map_from_entries(F.filter("e", lambda y, i: (i == 0) | (F.get("e", i - 1)["low"] != y["low"]))).alias("e"))
+    names = edges.groupBy(F.lower("src").alias("low")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda y: y["dst"]).alias("ahead"))
+    back = edges.groupBy(F.col("dst").alias("__dst")).agg(F.collect_set("src").alias("back"))
+    r = requirements.withColumn("low", F.lower("skill")).join(bounded(names), "low", "left").join(bounded(back), F.col("skill") == F.col("__dst"), "left").join(have, "doc_id", "left")
+    at = lambda name: F.try_element_at("e", F.lower(name))
+    at_work = lambda names_: F.filter(F.transform(names_, at), lambda y: y["applied"])
+    surest = F.array_sort(F.transform(at_work("back"), lambda y: F.struct((-y["confidence"]).alias("c"), (-y["mentions"]).alias("m"), y["skill"].alias("skill"))))
+    r = r.withColumn("own", F.try_element_at("e", F.col("low")))
+    r = r.withColumn("via", F.when(F.col("own").isNull(), F.coalesce(F.get(at_work("ahead"), F.lit(0))["skill"], F.get(surest, F.lit(0))["skill"])))
+    own, via = F.col("own").isNotNull(), F.col("via").isNotNull()
+    return r.select(
+        *PAIR, "ord", "skill",
+        F.when(own, F.when(F.col("own.applied") | ~F.col("own.declared_only"), "matched").otherwise("partial")).when(via, "partial").otherwise("missing").alias("status"),
+        F.when(own, F.when(F.col("own.applied"), APPLIED_CREDIT).otherwise(NAMED_CREDIT)).when(via, RELATED_CREDIT).otherwise(0.0).alias("credit"),
+        F.coalesce("via", F.lit("")).alias("via"),
     )
 
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
 from vellumflow.operators import extract as E
-from vellumflow.operators.parse import BULLET
+from vellumflow.operators.parse import BULLET, segments
 
 # Words of technical and of other occupations, each counted at most three times.
 TECH_TERMS = [
@@ -55,15 +54,31 @@ DEGREES = (
 )
 
 
-def signals(low: Column, terms: list[str]) -> Column:
-    """Sum over the terms of their whole-word occurrences, each at most CAP."""
-    return T.sum_columns([F.least(F.regexp_count(low, F.lit(rf"\b{t}\b")), F.lit(CAP)) for t in terms])
+def signal_counts(df: DataFrame, key: str, column: str, groups: dict[str, list[str]]) -> DataFrame:
+    """key and for each group of terms the sum of their whole-word occurrences, each term at most CAP.
+
+    A text is cut into words once; its runs of up to as many words as the longest term has are looked up in a map.
+    """
+    terms = {t: g for g, ts in groups.items() for t in ts}
+    most = max(len(t.split(" ")) for t in terms)
+    words = df.select(key, F.regexp_extract_all(F.lower(F.regexp_replace(column, r"\s", " ")), F.lit(r"[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0)).alias("w"))
+    # a run of n words is 2n - 1 pieces, words and what stands between them
+    pieces = [F.col("w") if n == 1 else F.when(F.size("w") >= 2 * n - 1, _runs_of(2 * n - 1)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]
+    hits = words.select(key, F.filter(F.concat(*pieces), lambda x: x.isin(list(terms))).alias("h"))
+    return hits.select(key, *[T.sum_columns([F.least(F.size(F.filter("h", _same(t))), F.lit(CAP)) for t in ts]).alias(g) for g, ts in groups.items()])
+
+
+def _same(term: str):
+    return lambda x: x == term
+
+
+def _runs_of(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), ""))
 
 
 def domain(df: DataFrame, key: str, column: str, n_skills: DataFrame) -> DataFrame:
     """key, n_tech, n_other, n_skills, is_tech, confidence of each posting. n_skills: key and how many listed skills it names."""
-    low = df.select(key, F.lower(column).alias("low"))
-    s = low.select(key, signals(F.col("low"), TECH_TERMS).alias("a"), signals(F.col("low"), OTHER_TERMS).alias("n_other"), signals(F.col("low"), ANALYST_TERMS).alias("b"), signals(F.col("low"), ANALYST_TOOLS).alias("c"))
+    s = signal_counts(df, key, column, {"a": TECH_TERMS, "n_other": OTHER_TERMS, "b": ANALYST_TERMS, "c": ANALYST_TOOLS})
     s = s.withColumn("n_tech", F.col("a") + F.when((F.col("b") > 0) & (F.col("c") > 0), F.col("b")).otherwise(0))
     s = s.join(n_skills.select(key, "n_skills"), key, "left").na.fill(0, ["n_skills"])
     tech = ~((F.col("n_skills") < LEAST_SKILLS) & (F.col("n_other") > F.col("n_tech")))
@@ -86,10 +101,10 @@ def block_of(line: Column) -> Column:
 
 def blocks(df: DataFrame, key: str, column: str) -> DataFrame:
     """key, pos, line, section (the block), is_bullet, is_blank of each line that isn't a heading."""
-    t = df.where(F.col(column).isNotNull()).select(key, F.posexplode(F.split(T.normalised(F.col(column)), "\n")).alias("pos", "line")).withColumn("h", block_of(F.col("line")))
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumn("section", F.coalesce(F.last("h", ignorenulls=True).over(w), F.lit("other"))).where("h is null")
-    return t.select(key, "pos", "line", "section", F.col("line").rlike(BULLET).alias("is_bullet"), (F.trim("line", F.lit(" \t")) == "").alias("is_blank"))
+    t = df.where(F.col(column).isNotNull()).select(key, F.split(T.normalised(F.col(column)), "\n").alias("__l"))
+    found = F.transform("__l", lambda x, i: F.struct(i.alias("i"), F.when(F.length(x) <= 120, block_of(x)).alias("section")))
+    s = segments(t, key, "__l", F.filter(found, lambda m: m["section"].isNotNull()), "other").where("not mark")
+    return s.select(key, "pos", "line", "section", F.col("line").rlike(BULLET).alias("is_bullet"), (F.trim("line", F.lit(" \t")) == "").alias("is_blank"))
 
 
 def requirements(found: DataFrame, key: str) -> DataFrame:

@@ -8,9 +8,11 @@ a shared term are never formed; their similarity is 0.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,62 @@ def given_features(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str,
     return _features(pairs.select(a, b).join(_right(right, b, broadcast_rows), b).join(left, [a, "term"]), a, b)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, a: str, b: str, column: str, top: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """a, b, cosine, jaccard, n_shared of every text of `left` with every text of `right` that shares a term, or with its `top` nearest.
+
+    `right` is a reference set: its terms travel with the tasks (more than `most` are refused), and each left text is scored
+    against all of it where it stands, so no pair is ever shuffled and only the nearest leave the task. Nearest by the
+    blended score of both measures, ties by b.
+    """
+    own = right.where(F.col(column).isNotNull()).select(b, F.explode(T.content_lemmas(F.col(column))).alias("term")).groupBy(b, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = own.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    ids = sorted({r[0] for r in rows})
+    kinds = left.schema[a].dataType.simpleString(), right.schema[b].dataType.simpleString()
+    kept = [(r[0], r.term, r.tf) for r in rows]
+    docs = left.where(F.col(column).isNotNull()).select(a, T.content_lemmas(F.col(column)).alias("l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: i for i, x in enumerate(ids)}
+        postings: dict[str, tuple[list[int], list[int]]] = {}
+        sq, n_terms = np.zeros(len(ids)), np.zeros(len(ids))
+        for x, term, tf in kept:
+            at = postings.setdefault(term, ([], []))
+            at[0].append(place[x])
+            at[1].append(tf)
+            sq[place[x]] += tf * tf
+            n_terms[place[x]] += 1
+        index = {t: (np.array(i), np.array(f, dtype=np.float64)) for t, (i, f) in postings.items()}
+        k = ONE_SIDED
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for row, lemmas in enumerate(batch.column(1).to_pylist()):
+                counts = Counter(lemmas)
+                hits = [(tf, *index[t]) for t, tf in counts.items() if t in index]
+                if not hits:
+                    continue
+                at = np.concatenate([h[1] for h in hits])
+                fb = np.concatenate([h[2] for h in hits])
+                fa = np.concatenate([np.full(len(h[1]), float(h[0])) for h in hits])
+                shared = np.bincount(at, minlength=len(ids))
+                dot, sa, sb = (np.bincount(at, weights=w, minlength=len(ids)) for w in (fa * fb, fa * fa, fb * fb))
+                sq_a = float(sum(c * c for c in counts.values()))
+                pick = np.nonzero(shared)[0]
+                cosine = dot[pick] / np.sqrt((k * sq_a - (k - 1) * sa[pick]) * (k * sq[pick] - (k - 1) * sb[pick]))
+                jaccard = shared[pick] / (len(counts) + n_terms[pick] - shared[pick])
+                if top is not None:
+                    s = np.floor(np.clip(100 * np.minimum(1.0, (0.85 * cosine + 0.15 * jaccard) / 0.35), 0, 100) * 1e4 + 0.5)
+                    best = np.lexsort((pick, -s))[:top]
+                    pick, cosine, jaccard = pick[best], cosine[best], jaccard[best]
+                out.append((np.full(len(pick), row), pick, cosine, jaccard, shared[pick]))
+            cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(5)]
+            of = pa.array(ids).take(pa.array(cols[1].astype(np.int64))) if len(ids) else pa.array([], batch.column(0).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0].astype(np.int64))), of, pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4].astype(np.int64))], names=[a, b, "cosine", "jaccard", "n_shared"])
+
+    return docs.mapInArrow(run, f"`{a}` {kinds[0]}, `{b}` {kinds[1]}, cosine double, jaccard double, n_shared bigint")
+
+
 def held_shares(df: DataFrame, key: str, column: str, names: DataFrame, name: str) -> DataFrame:
     """key, name, share: of the names that each text holds, 1 as a phrase (any part of the text) or the share of their lemmas; names with none are missing, but each text has a row (name null)."""
     lemmas = names.select(name, F.array_distinct(T.content_lemmas(F.col(name))).alias("kl")).select(name, F.size("kl").alias("of"), F.explode("kl").alias("lemma"))

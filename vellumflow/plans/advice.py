@@ -222,7 +222,7 @@ def rebuild_scores(spark, sf_dir):
 
     def score(lines: DataFrame, name: str) -> DataFrame:
         found = E.evidence(E.mentions(lines, "resume_id", o), "resume_id").withColumnRenamed("resume_id", "doc_id")
-        got = M.resolve(req.drop("importance"), checkpointed(found), E.edges(o)).join(req.select(*PAIR, "ord", "importance"), [*PAIR, "ord"])
+        got = M.resolve(req.drop("importance"), found, E.edges(o)).join(req.select(*PAIR, "ord", "importance"), [*PAIR, "ord"])
         return got.groupBy(*PAIR).agg(F.round(T.clamp(100 * F.sum(F.col("importance") * F.col("credit")) / F.sum("importance")) + 1e-9, 4).alias(name))
 
     return score(before, "before").join(score(after, "after"), PAIR)

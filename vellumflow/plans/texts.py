@@ -108,21 +108,20 @@ def entities(spark, sf_dir):
     return r.select("resume_id", F.inline(F.array_distinct(found))).groupBy("resume_id", "label").agg(F.count(F.lit(1)).alias("n_entities"), F.min("entity").alias("least"))
 
 
-def _features(spark, sf_dir):
-    docs = similarity.term_weights(_docs(spark, sf_dir), "doc_id", "text")
-    items = similarity.term_weights(table(spark, sf_dir, "test_items").select("item_id", "text").distinct(), "item_id", "text")
-    return similarity.pair_features(docs, items, "doc_id", "item_id")
+def _near(spark, sf_dir, top: int | None = None):
+    items = table(spark, sf_dir, "test_items").select("item_id", "text").distinct()
+    return similarity.near_pairs(_docs(spark, sf_dir), items, "doc_id", "item_id", "text", top)
 
 
 def pair_similarity(spark, sf_dir):
     """AGG-8, 9: cosine and overlap of every document and test item that share a term."""
-    f = _features(spark, sf_dir)
+    f = _near(spark, sf_dir)
     return f.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"), F.round("jaccard", 6).alias("jaccard"), "n_shared")
 
 
 def top_items_per_doc(spark, sf_dir):
     """AGG-7 in part, AGG-13, REC-4: the three items nearest to each document by the blended score (without the expanded cosine), with its band."""
-    f = _features(spark, sf_dir).withColumn("s", F.round(T.clamp(100 * F.least(F.lit(1.0), (0.85 * F.col("cosine") + 0.15 * F.col("jaccard")) / 0.35)), 4))
+    f = _near(spark, sf_dir, 3).withColumn("s", F.round(T.clamp(100 * F.least(F.lit(1.0), (0.85 * F.col("cosine") + 0.15 * F.col("jaccard")) / 0.35)), 4))
     top = f.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("s"), "item_id"))).where("rank <= 3")
     band = F.when(F.col("s") >= 85, "excellent").when(F.col("s") >= 70, "strong").when(F.col("s") >= 55, "moderate").when(F.col("s") >= 40, "developing").otherwise("early")
     return top.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "item_id", F.col("s").alias("score"), band.alias("band"))

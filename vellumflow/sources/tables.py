@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_KEYS = 1_000_000
@@ -45,8 +45,9 @@ def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     """
     value = [c for c in df.columns if c != key]
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__key"))
-    repeated = checkpointed(repeated)
-    side = F.broadcast(repeated) if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else repeated
+    seen = Observation()
+    repeated = checkpointed(repeated.observe(seen, F.count(F.lit(1)).alias("n")))
+    side = F.broadcast(repeated) if seen.get["n"] <= BROADCAST_KEYS else repeated
     same = F.col(key).eqNullSafe(F.col("__key"))
     once = df.join(side, same, "left_anti")
     again = df.join(side, same, "left_semi").groupBy(key, F.xxhash64(*value).alias("__h"), F.md5(F.concat_ws("\u0001", *value)).alias("__m")).agg(*[F.first(c).alias(c) for c in value])
