@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import parse as P
 from vellumflow.plans import sqltwin as Q
+from vellumflow.sources.files import read_files
 from vellumflow.sources.tables import distinct_rows, table
 
 AS_OF = "2026-01-01"
@@ -20,6 +21,11 @@ def _lines(spark, sf_dir):
     return P.lines(_texts(spark, sf_dir), "resume_id", "raw_text")
 
 
+def parsed_files(spark: SparkSession, path: str):
+    """CPL-2: files below `path` to text and on to lines with their sections: path, pos, line, section, is_bullet, is_blank."""
+    return P.lines(read_files(spark, path).where("text is not null").select("path", "text"), "path", "text")
+
+
 def doc_sections(spark, sf_dir):
     """PRS-1, 2: lines, bullets and blanks of each section of each résumé."""
     n = _lines(spark, sf_dir).groupBy("resume_id", "section")
@@ -47,9 +53,10 @@ def experience_entries(spark, sf_dir):
 
 
 def project_entries(spark, sf_dir):
-    """PRS-8: projects with name, technologies and bullets."""
+    """PRS-8: projects with name, technologies, bullets and a description (the bullets in one, or else the name)."""
     e = P.projects(P.entries(_lines(spark, sf_dir), "resume_id", "projects"), "resume_id")
-    return e.select("resume_id", F.col("entry").cast("bigint").alias("entry"), "name", "tech_hint", F.size("bullets").cast("bigint").alias("n_bullets"))
+    told = F.substring(F.when(F.size("bullets") > 0, F.array_join("bullets", " ")).otherwise(F.col("name")), 1, 600)
+    return e.select("resume_id", F.col("entry").cast("bigint").alias("entry"), "name", "tech_hint", F.size("bullets").cast("bigint").alias("n_bullets"), told.alias("description"))
 
 
 def education_entries(spark, sf_dir):
@@ -139,8 +146,9 @@ SQL = {
     "project_entries": f"""WITH {_SQL_LINES}, {_entries('projects')},
       g AS (SELECT resume_id, entry, list(line ORDER BY pos) AS ls, string_agg(line, chr(10) ORDER BY pos) AS body, list(is_bullet ORDER BY pos) AS bs FROM e GROUP BY ALL),
       h AS (SELECT *, trim(regexp_replace(trim(ls[1], ' ' || chr(9)), {Q.quoted(P.BULLET)}, ''), ' ' || chr(9)) AS head, len([b FOR b IN bs[2:] IF b]) AS nb FROM g)
-      SELECT resume_id, entry, left(trim(regexp_split_to_array(head, ' [|–—-] |:')[1], ' ' || chr(9)), 120) AS name, trim(regexp_extract(body, {Q.quoted(P.TECH)}, 1), ' ' || chr(9)) AS tech_hint,
-        CASE WHEN nb > 0 THEN nb ELSE len([q FOR q IN ls[2:] IF {_WORDS.format(x="trim(q, ' ' || chr(9))")} > 4]) END AS n_bullets FROM h WHERE entry < 15""",
+      , k AS (SELECT *, left(trim(regexp_split_to_array(head, ' [|–—-] |:')[1], ' ' || chr(9)), 120) AS name, CASE WHEN nb > 0 THEN [trim(regexp_replace(q, {Q.quoted(P.BULLET)}, ''), ' ' || chr(9)) FOR q IN ls[2:] IF regexp_matches(q, {Q.quoted(P.BULLET)})] ELSE [trim(q, ' ' || chr(9)) FOR q IN ls[2:] IF {_WORDS.format(x="trim(q, ' ' || chr(9))")} > 4] END AS bl FROM h)
+      SELECT resume_id, entry, name, left(CASE WHEN len(bl) > 0 THEN array_to_string(bl, ' ') ELSE name END, 600) AS description, trim(regexp_extract(body, {Q.quoted(P.TECH)}, 1), ' ' || chr(9)) AS tech_hint,
+        CASE WHEN nb > 0 THEN nb ELSE len([q FOR q IN ls[2:] IF {_WORDS.format(x="trim(q, ' ' || chr(9))")} > 4]) END AS n_bullets FROM k WHERE entry < 15""",
     "education_entries": f"""WITH {_SQL_LINES}, {_entries('education')},
       g AS (SELECT resume_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS t FROM e GROUP BY ALL),
       d AS (SELECT *, trim(regexp_extract(t, {Q.quoted(P.DEGREE)}, 1), ' ') AS degree FROM g),
