@@ -145,6 +145,6 @@ def role(text: Column) -> Column:
 
 
 def skills_named(df: DataFrame, key: str, column: str, ontology: DataFrame) -> DataFrame:
-    """key, n_skills: distinct listed skills, without soft ones, that each text names."""
+    """EXT-4: key, n_skills: distinct listed skills, without soft ones, that each text names."""
     lines = df.where(F.col(column).isNotNull()).select(key, F.col(column).alias("line"), F.lit("other").alias("section"), F.lit(False).alias("is_blank"))
     return E.mentions(lines, key, ontology).where("category <> 'soft'").groupBy(key).agg(F.count_distinct("skill").alias("n_skills"))

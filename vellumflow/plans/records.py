@@ -63,5 +63,13 @@ def p3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("record_id").alias("analysis_id"), "node", F.col("f_key").alias("component"), F.col("f_score").try_cast("double").alias("score"), F.col("f_weight").try_cast("double").alias("weight")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_field_sizes": p2_field_sizes, "p3_found": p3_found, "p3_tables": p3_tables, "p3_components": p3_components}
+def payload_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-4: the stored plan of every analysis: its phases with title and weeks, out of the nested payload."""
+    t = spread(table(spark, sf_dir, "resume_analyses").select("analysis_id", "payload"))
+    flat = nested.flatten(t, "analysis_id", "payload", nested.array_paths(t, "payload"), with_values=True)
+    c = nested.child_table(flat, "learning_roadmap/phases", ["phase", "title", "duration_weeks"])
+    return c.select(F.col("record_id").alias("analysis_id"), "node", F.col("f_phase").try_cast("int").alias("phase"), F.col("f_title").alias("title"), F.col("f_duration_weeks").try_cast("int").alias("weeks")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_field_sizes": p2_field_sizes, "p3_found": p3_found, "p3_tables": p3_tables, "p3_components": p3_components, "payload_phases": payload_phases}
 SQL: dict[str, str] = {}

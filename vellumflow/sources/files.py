@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import re
+import textwrap
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -25,7 +26,7 @@ def upload_problem(name: Column, size: Column, formats: tuple[str, ...], most: i
 
 
 def docx_text(data: bytes) -> str:
-    """Paragraphs, then table rows with their cells joined by a bar."""
+    """SRC-4: paragraphs, then table rows with their cells joined by a bar."""
     import xml.etree.ElementTree as ET
 
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -51,6 +52,25 @@ def docx_bytes(text: str) -> bytes:
     return out.getvalue()
 
 
+def pdf_bytes(text: str, width: int = 95, rows: int = 60) -> bytes:
+    """A single-column PDF file of the lines of a text, in one of the fonts every reader has; long lines are wrapped at spaces."""
+    lines = [piece for line in text.split("\n") for piece in (textwrap.wrap(line, width, drop_whitespace=False) or [""])]
+    pages = [lines[i : i + rows] for i in range(0, len(lines), rows)] or [[]]
+    sign = lambda x: x.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}>>".encode(), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
+    for i, page in enumerate(pages):
+        body = b"BT /F1 10 Tf 12 TL 50 780 Td\n" + b"".join(b"(" + sign(x) + b") Tj T*\n" for x in page) + b"ET"
+        objects.append(f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 595 842]/Resources<</Font<</F1 3 0 R>>>>/Contents {5 + 2 * i} 0 R>>".encode())
+        objects.append(f"<</Length {len(body)}>>stream\n".encode() + body + b"\nendstream")
+    out, places = b"%PDF-1.4\n", []
+    for n, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{n} 0 obj".encode() + o + b"endobj\n"
+    table = "".join(f"{p:010d} 00000 n \n" for p in places)
+    return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer<</Size {len(objects) + 1}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF".encode()
+
+
 def _pdf_text(data: bytes) -> tuple[str, int]:
     try:
         import pypdf
@@ -85,7 +105,7 @@ def _read(path: str, data: bytes) -> tuple[str | None, int | None, str | None]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, pages, problem: one row a file below `path`; refused and broken files have their problem and no text. The source doesn't list files of no bytes."""
+    """SRC-2: path, text, pages, problem: one row a file below `path`; refused and broken files have their problem and no text. The source doesn't list files of no bytes."""
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,22 +118,22 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def render_files(df: DataFrame, name: str, text: str, kind: str = "docx") -> DataFrame:
-    """name, content BINARY: each text as a file's bytes."""
+    """SNK-6: name, content BINARY: each text as the bytes of a docx, txt or pdf file."""
     import pandas as pd
 
-    if kind not in ("docx", "txt"):
+    make = {"docx": docx_bytes, "pdf": pdf_bytes, "txt": lambda t: t.encode("utf-8")}.get(kind)
+    if make is None:
         raise ValueError(f"unknown format {kind}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            make = docx_bytes if kind == "docx" else (lambda t: t.encode("utf-8"))
             yield pd.DataFrame({"name": b["name"], "content": [make(t) for t in b["text"]]})
 
     return df.select(F.col(name).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, "name string, content binary")
 
 
 def read_reference(spark: SparkSession, path: str, column: str, schema: str) -> DataFrame:
-    """Rows of the array `column` of a JSON reference file, under an explicit schema; a missing file is an error."""
+    """SRC-1: rows of the array `column` of a JSON reference file, under an explicit schema; a missing file is an error."""
     if not re.search(r"\.json$", path):
         raise ValueError(f"{path} is no JSON file")
     raw = spark.read.schema(f"`{column}` array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
