@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm import canon, leak, mapping, neardup, pii, spam, tokenizer
 from vellumflow.operators import packed
+from vellumflow.operators.extract import bounded
 from vellumflow.sources.tables import spread, table
 
 
@@ -96,7 +97,7 @@ def _meant(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select(F.lit("skill_section_terms").alias("field"), "doc_id", F.lit("").alias("target_id"), F.col("i").cast("bigint").alias("ord"), "value")
     ontology = table(spark, sf_dir, "ontology")
     entries = mapping.entries_of(ontology)
-    listed = F.broadcast(ontology.select(F.col("skill").alias("value")).distinct())
+    listed = bounded(ontology.select(F.col("skill").alias("value")).distinct())
     other = m.unionByName(p).where(F.length(F.trim("value")) > 0).join(listed, "value", "left_anti")
     found = mapping.map_values(spread(other), "value", entries, packed.vocabulary(ontology))
     return found.where((F.col("field") == "skill_match") | (F.col("n_values") < 2))
