@@ -73,6 +73,16 @@ def test_labelled_by_hand():
     assert right >= 0.85 * total and right >= 0.85 * found, (right, found, total)
 
 
+def test_a_text_gives_the_same_whatever_stands_beside_it():
+    r = random.Random(5)
+    texts = [pii_train.invented(r)[0] for _ in range(40)] + [pii_train.random_name(r) for _ in range(40)] + ["\n".join(pii_train.invented(r)[0] for _ in range(9)) for _ in range(8)]
+    together = pii.find_in(texts)
+    assert [pii.find_in([t])[0] for t in texts] == together
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    assert [together[i] for i in order] == pii.find_in([texts[i] for i in order])
+
+
 def test_long_values_are_whole():
     domain = "very-long-" * 14 + "domain.example.org"
     for text in (f"Mail: ann.lee@{domain} please", f"ann.lee@{domain}"):

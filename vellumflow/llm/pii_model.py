@@ -6,6 +6,10 @@ the sigmoid gates are computed as tanh of half their input, so that one tanh cal
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+from pathlib import Path
+
 import numpy as np
 
 KINDS = ("email", "phone", "name", "address", "id_number")
@@ -30,6 +34,23 @@ def char_ids(text: str) -> np.ndarray:
     return _IDS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> bool:
+    """Keeps numpy's matrix products in the calling thread; whether it could be arranged.
+
+    A task has a core of its own. Products as small as these, spread over threads by the library behind numpy, cost twice
+    the CPU time on two threads and far more where all cores are busy, and a library that is loaded reads no environment.
+    """
+    done = False
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                done = True
+    return done
+
+
 def _allowed() -> tuple[np.ndarray, np.ndarray]:
     """Transitions that BIO permits, and permitted first tags."""
     a = np.zeros((N_TAGS, N_TAGS), dtype=bool)
@@ -89,6 +110,7 @@ def lstm(ids: np.ndarray, table: np.ndarray, rec: np.ndarray, bias: np.ndarray,
 
 def emissions(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """(T, B) ids -> (T, B, tags) scores; padding sits behind the text, so the backward reader starts on it."""
+    one_thread()
     hid = p["rec_f"].shape[0]
     f = lstm(ids, p["table_f"], p["rec_f"], p["bias_f"])
     e = f.reshape(-1, hid) @ p["out_w"][:hid]
