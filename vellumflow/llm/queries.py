@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumflow.llm import canon, leak, mapping, neardup, pii, spam, tokenizer
 from vellumflow.operators import packed
 from vellumflow.operators.extract import bounded
-from vellumflow.sources.tables import spread, table
+from vellumflow.sources.tables import distinct_rows, spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -51,11 +51,13 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().select(F.col("id").alias("resume_id"), "group_id", "n_links")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """field, doc_id, pos, line: the lines of raw_text and the elements of bullets."""
-    r = spread(table(spark, sf_dir, "resumes").select("resume_id", "raw_text"))
+def _lines(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """field, doc_id, pos, line: the lines of raw_text and the elements of bullets; with `once` those of repeated deliveries once."""
+    r = table(spark, sf_dir, "resumes").select("resume_id", "raw_text")
+    r = distinct_rows(r, "resume_id") if once else spread(r)
     lines = r.select(F.lit("raw_text").alias("field"), F.col("resume_id").alias("doc_id"), F.posexplode(F.split("raw_text", "\n", -1)).alias("pos", "line"))
-    p = spread(table(spark, sf_dir, "parsed_resume").select("doc_id", "bullets"))
+    p = table(spark, sf_dir, "parsed_resume").select("doc_id", "bullets")
+    p = distinct_rows(p, "doc_id") if once else spread(p)
     bullets = p.select(F.lit("bullets").alias("field"), "doc_id", F.posexplode("bullets").alias("pos", "line"))
     return lines.unionByName(bullets).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -83,11 +85,11 @@ def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line and bullet in its consistent form; those that hold nothing unusual are in it already."""
-    lines = _lines(spark, sf_dir)
+    """Every line and bullet of each distinct text in its consistent form; those that hold nothing unusual are in it already. No line is shuffled."""
+    lines = _lines(spark, sf_dir, once=True)
     odd = F.coalesce(canon.suspicious(F.col("line")), F.lit(False))
     done = canon.canonical_texts(lines.where(odd), ["field", "doc_id", "pos"], "line", _letter_pairs(spark, sf_dir)).drop("found")
-    return done.unionByName(lines.where(~odd).withColumnRenamed("line", "text")).distinct()
+    return done.unionByName(lines.where(~odd).withColumnRenamed("line", "text"))
 
 
 def _meant(spark: SparkSession, sf_dir: str) -> DataFrame:
