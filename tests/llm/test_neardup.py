@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from vellumflow.llm import neardup as D
 
@@ -92,3 +93,46 @@ def test_copies_in_blocks(spark, monkeypatch):
     rows = [(i, "the same words in every one of these texts") for i in range(23)]
     near = D.NearDuplicates(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", size=3, threshold=0.6)
     assert {tuple(x) for x in near.pairs().collect()} == {(a, b) for a in range(23) for b in range(a + 1, 23)}
+
+
+def test_disk_of_crowded_regions(spark):
+    """Texts that share phrases crowd the regions; what is shuffled and stored stays a few bytes for each key."""
+    r = random.Random(11)
+    phrases = [" ".join(f"p{i}_{j}" for j in range(6)) for i in range(150)]
+    rows = [(i, " ".join(r.choice(phrases) for _ in range(40))) for i in range(500)]
+    rows += [(len(rows) + i, rows[i][1] + " and one more line") for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(4)
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: sum(x.shuffleWriteBytes() + x.diskBytesSpilled() for x in _list(sc.statusStore().stageList(none, False, False, quantiles, none)))
+    stored = lambda: sum(p.stat().st_size for p in Path(sc.getCheckpointDir().get().removeprefix("file:")).rglob("*") if p.is_file()) if sc.getCheckpointDir().isDefined() else 0
+    before = written() + stored()
+    got = {tuple(x) for x in D.NearDuplicates(df, "id", "t", size=3, threshold=0.6, region=8).pairs().collect()}
+    sc.listenerBus().waitUntilEmpty()
+    used = written() + stored() - before
+    assert got == exact(rows, 3, 0.6) and len(got) >= 40
+    assert used < 6000 * len(rows), used / len(rows)
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_trees_keep_the_chance_of_a_miss():
+    assert [D.trees(d, 0.6, 2) for d in (3, 4, 5)] == [60, 104, 177]
+
+
+def test_deeper_prefixes_lose_no_pair(spark):
+    rows = list(enumerate(texts(seed=9, n=80)))
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    for depth in (3, 5):
+        near = D.NearDuplicates(df, "id", "t", size=3, threshold=0.6, shallow=depth)
+        assert near.depth >= depth and {tuple(x) for x in near.pairs().collect()} == exact(rows, 3, 0.6)
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(5, x), (5, y), (7, x), (9, y), (20, x + " more")]
+    near = D.NearDuplicates(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", size=3, threshold=0.6)
+    assert {tuple(p) for p in near.pairs().collect()} == {(5, 7), (5, 9), (5, 20), (7, 20)}
